@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df's rows, computed once and kept in the shared folder: a lost executor costs no recomputation beyond it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """df's rows as a Parquet table in the shared folder: Spark knows its size, and broadcasts it only below its own threshold."""
+    path = f"{shared_folder(df.sparkSession)}/rasterquarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
