@@ -207,14 +207,16 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int64)))
+
+
 def _encode_batches(batches, path):
     for batch in batches:
         for part in blocks(batch):
-            ids = coder(path).encode(column(part).to_pylist())
-            at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int64)))
-            names = [f.name for f in part.schema if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], names=[*names, "ids"])
+            lists = _lists(coder(path).encode(column(part).to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -239,19 +241,25 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", ids).mapInArrow(partial(_decode_batches, path=path), f"doc_id {kind}, content binary")
 
 
-def _round_trip_batches(batches, path):
+def _round_trip_batches(batches, path, with_ids):
     for batch in batches:
         for part in blocks(batch):
             ids = coder(path).encode(column(part).to_pylist())
             back = coder(path).decode(ids)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs; encode and decode in one pass over the texts."""
+            out = {
+                "doc_id": part.column("doc_id"),
+                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
+                "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+            }
+            if with_ids:
+                out["ids"] = _lists(ids)
+            yield pa.RecordBatch.from_pydict(out)
+
+
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, and ids on demand; encode and decode in one pass over the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_round_trip_batches, path=path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
+    return rows.mapInArrow(partial(_round_trip_batches, path=path, with_ids=with_ids), schema)

@@ -18,7 +18,7 @@ BUCKETS = 1 << 16
 PRIOR = 4.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A document stays if its mean log-likelihood ratio, in nats a feature, is at least this.
-THRESHOLD = -0.25
+THRESHOLD = -0.14
 
 
 def features(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
