@@ -49,6 +49,8 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     joined = "".join(texts)
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     n = len(chars)
+    if not n:
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), pa.array([], pa.binary())
     kind = _kinds()[chars]
     start = np.ones(n + 1, bool)
     start[1:n] = kind[1:] != kind[:-1]

@@ -25,10 +25,10 @@ class Automaton:
     def __init__(self, vocabulary):
         self.child: list[dict[str, int]] = [{}, {}]  # 0: first pieces, 1: continuing pieces
         ends = [False, False]
-        for piece in vocabulary:
-            at, text = (1, piece[len(CONTINUES) :]) if piece.startswith(CONTINUES) and piece != CONTINUES else (0, piece)
+        for first, text in vocabulary:
             if not text:
                 continue
+            at = 0 if first else 1
             for c in text:
                 if c not in self.child[at]:
                     self.child[at][c] = len(self.child)
@@ -70,16 +70,17 @@ class Automaton:
         return n
 
 
-def vocabulary(path: str) -> list[str]:
-    """A word-piece vocabulary: the lines of a .txt file, or the pieces of a .model file, in which a leading ▁ marks what can start a word."""
+def vocabulary(path: str) -> list[tuple[bool, str]]:
+    """The pieces of a vocabulary and whether they start a word: of a .model file those led by ▁, of a .txt file's lines those not led by ##."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        return [p[1:] if p.startswith("▁") else CONTINUES + p for p in plain if p != "▁"]
+        return [(p.startswith("▁"), p.removeprefix("▁")) for p in plain if p != "▁"]
     with open(path, encoding="utf-8") as lines:
-        return [line.rstrip("\n") for line in lines if line.rstrip("\n")]
+        plain = [line.rstrip("\n") for line in lines]
+    return [(False, p[len(CONTINUES) :]) if p.startswith(CONTINUES) and p != CONTINUES else (True, p) for p in plain if p]
 
 
 @lru_cache(maxsize=2)
