@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .textops import blocks, column
 
 #: Words encoded by one query, words that a worker remembers, and the bytes from which a word counts as long.
-QUERY_WORDS, REMEMBERED, LONG = 20_000, 300_000, 64
+QUERY_WORDS, REMEMBERED, LONG = 60_000, 600_000, 64
 #: Ids decoded by one query; a longer document is a query of its own.
 QUERY_IDS = 400_000
 _LETTER, _DIGIT, _SPACE, _OTHER = range(4)
@@ -91,40 +91,44 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-#: One step of all words: the row of the leftmost least-rank pair takes the merged token, the row after it goes. A word
-#: without a pair to merge is done.
-_STEP = """
+#: One step of all words: their pairs by position join the merge table, and each word's leftmost pair of least rank,
+#: summed as rank and position in one number, is contracted. A word without a pair to merge stays as it was last.
+_LEFTMOST = """
+WITH RECURSIVE steps(w, toks) AS (
+  SELECT w, toks FROM words_in
+  UNION ALL
+  SELECT s.w, list_concat(list_concat(s.toks[:(b.code & 2147483647)::INT - 1], [(b.code >> 31)::INT]), s.toks[(b.code & 2147483647)::INT + 2:])
+  FROM steps s JOIN (
+    SELECT w, min((m.t::BIGINT << 31) | pos) AS code
+    FROM (SELECT w, unnest(range(1, len(toks))) AS pos, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r FROM steps) p
+    JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY w) b ON b.w = s.w)
+SELECT w, arg_min(toks, len(toks)) AS ids FROM steps GROUP BY w ORDER BY w
+"""
+#: The same for long words, a row a token. A rank is safe if no pair with its merged token ranks lower, so its other
+#: pairs would come next, from the left, in any case: they are merged in the same step, of overlapping ones every second.
+_ALL_SAFE = """
 WITH RECURSIVE steps(w, pos, tok, done) AS (
-  SELECT w, pos, tok, false FROM words_in
+  SELECT w, pos, tok, false FROM (SELECT w, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM words_in)
   UNION ALL
   SELECT w, pos, CASE WHEN hit THEN t ELSE tok END, least_code IS NULL
   FROM (
     SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
     FROM (
-      SELECT *, {hit} AS hit FROM (
-        SELECT a.*, m.t, m.safe, min((m.t::BIGINT << 31) | a.pos) OVER (PARTITION BY w) AS least_code
-        FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM steps WHERE NOT done) a
-        LEFT JOIN merges m ON m.l = a.tok AND m.r = a.nxt) b {runs}) c) d
+      SELECT w, pos, tok, t, least_code, coalesce(same AND (((t::BIGINT << 31) | pos) = least_code OR safe AND nth % 2 = 1), false) AS hit
+      FROM (
+        SELECT *, row_number() OVER (PARTITION BY w, same, idx - k ORDER BY pos) AS nth
+        FROM (
+          SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS idx, row_number() OVER (PARTITION BY w, same ORDER BY pos) AS k
+          FROM (
+            SELECT *, coalesce(t = least_code >> 31, false) AS same
+            FROM (
+              SELECT a.*, m.t, m.safe, min((m.t::BIGINT << 31) | a.pos) OVER (PARTITION BY w) AS least_code
+              FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM steps WHERE NOT done) a
+              LEFT JOIN merges m ON m.l = a.tok AND m.r = a.nxt)))))
+    )
   WHERE NOT gone)
-SELECT w, list(tok ORDER BY pos) AS ids, string_agg(v.piece, '' ORDER BY pos) AS back
-FROM steps JOIN vocabulary v ON v.id = steps.tok WHERE done GROUP BY w ORDER BY w
+SELECT w, list(tok ORDER BY pos) AS ids FROM steps WHERE done GROUP BY w ORDER BY w
 """
-_LEFTMOST = _STEP.format(hit="coalesce(((t::BIGINT << 31) | pos) = least_code, false)", runs="")
-#: The same for long words. A rank is safe if no pair with its merged token ranks lower, so its other pairs would
-#: come next, from the left, in any case: they are merged in the same step. Of overlapping pairs every second one is.
-_ALL_SAFE = _STEP.format(
-    hit="coalesce(t = least_code >> 31 AND (((t::BIGINT << 31) | pos) = least_code OR safe AND nth % 2 = 1), false)",
-    runs="",
-).replace(
-    "SELECT *, coalesce(t =",
-    "SELECT * EXCLUDE (idx, k, nth), coalesce(t =",
-).replace(
-    "FROM (\n        SELECT a.*",
-    """FROM (SELECT *, row_number() OVER (PARTITION BY w, same, idx - k ORDER BY pos) AS nth FROM (
-          SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS idx, row_number() OVER (PARTITION BY w, same ORDER BY pos) AS k FROM (
-            SELECT *, coalesce(t = least_code >> 31, false) AS same FROM (
-        SELECT a.*""",
-).replace("m.r = a.nxt) b", "m.r = a.nxt)))) b")
 _DECODE = "SELECT d, string_agg(v.piece, '' ORDER BY pos) AS back FROM ids_in JOIN vocabulary v ON v.id = ids_in.id GROUP BY d ORDER BY d"
 
 
@@ -148,17 +152,13 @@ class Coder:
         self.known: dict[bytes, bytes] = {}
 
     def _query(self, sql: str, words: list[bytes]) -> None:
-        data = np.frombuffer(b"".join(words), np.uint8)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(lengths) - lengths
-        rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": (np.arange(len(data)) - np.repeat(starts, lengths)).astype(np.int32), "tok": self.bytes_id[data]})
-        self.db.register("words_in", rows)
-        out = self.db.sql(sql).to_arrow_table()
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(self.bytes_id[np.frombuffer(b"".join(words), np.uint8)]))
+        self.db.register("words_in", pa.table({"w": np.arange(len(words), dtype=np.int32), "toks": tokens}))
+        lists = self.db.sql(sql).to_arrow_table()["ids"].combine_chunks()
         self.db.unregister("words_in")
-        for w, ids, back in zip(words, out["ids"].to_pylist(), out["back"].to_pylist()):
-            if back.encode("latin-1") != w:
-                raise ValueError("a word's tokens don't give its bytes")
-            self.known[w] = np.array(ids, "<u4").tobytes()
+        flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), (4 * np.cumsum(lists.value_lengths().to_numpy())).tolist()
+        self.known.update(zip(words, (flat[a:b] for a, b in zip([0, *ends], ends))))
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Each distinct word's ids as little-endian 32-bit integers."""
