@@ -39,7 +39,7 @@ def _basis() -> np.ndarray:
     k, n = np.meshgrid(np.arange(32), np.arange(32), indexing="ij")
     at = k * (2 * n + 1) % 128
     at = np.minimum(at, 128 - at)
-    return np.where(k == 0, 64, np.where(at <= 32, np.take(cosines, np.minimum(at, 32)), -np.take(cosines, np.maximum(64 - at, 0))))
+    return np.where(k == 0, 64, np.where(at <= 32, np.take(cosines, np.minimum(at, 32)), -np.take(cosines, np.minimum(64 - at, 32))))
 
 
 BASIS = _basis()

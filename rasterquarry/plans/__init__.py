@@ -1,0 +1,12 @@
+"""Registered queries over the operators, by family."""
+
+
+def registered() -> tuple[dict, dict]:
+    """(queries, SQL) of all families."""
+    from . import codec, container, pixels
+
+    queries, sql = {}, {}
+    for family in (container, codec, pixels):
+        queries |= family.QUERIES
+        sql |= family.ORACLES
+    return queries, sql
