@@ -127,9 +127,9 @@ def predict(border: np.ndarray, mode: int, size: int, luma: bool = True, bit_dep
     inverse = round(8192 / angle) if angle < 0 else 0
     back = np.zeros((len(b), size), np.int64)
     sides = np.concatenate([b[:, c : c + 1], side], axis=1)
-    for i in range(1, size + 1):
-        if angle < 0 and -i >= size * angle >> 5:
-            back[:, size - i] = sides[:, (-i * inverse + 128) >> 8]
+    reach = -(size * angle >> 5)
+    for i in range(1, reach + 1 if reach > 1 else 1):  # one step back is the corner, which is there
+        back[:, size - i] = sides[:, (-i * inverse + 128) >> 8]
     ref = np.concatenate([back, ref], axis=1)
     rows = np.arange(size)
     whole, part = (rows + 1) * angle >> 5, (rows + 1) * angle & 31
