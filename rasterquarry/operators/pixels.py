@@ -341,3 +341,50 @@ def small_checksum(samples: Column) -> Column:
 
 def image_checksum(width: Column, height: Column, small: Column) -> Column:
     return F.shiftleft(width.cast("long"), 32).bitwiseXOR(height.cast("long")).bitwiseXOR(small)
+
+
+# Pictures as a whole
+
+
+def deblock_plane(px: DataFrame, qp: Column, beta_offset: int = 0, tc_offset: int = 0, bit_depth: int = 8) -> DataFrame:
+    """(img, x, y, v) after all edges across and then, over that result, all edges down. qp: an expression of img."""
+    for vertical in (True, False):
+        across, along = ("x", "y") if vertical else ("y", "x")
+        new = deblock_luma(edge_lines(px, vertical), qp, beta_offset, tc_offset, bit_depth)
+        spots = F.explode(F.array(*(F.struct((F.col("edge") + k).cast("int").alias("at"), F.col(n).alias("new")) for n, k in (("p2", -3), ("p1", -2), ("p0", -1), ("q0", 0), ("q1", 1), ("q2", 2)))))
+        rows = new.select("img", F.col("line").alias(along), spots.alias("s")).select("img", along, F.col("s.at").alias(across), "s.new")
+        px = px.join(rows, ["img", "x", "y"], "left").select("img", "x", "y", F.coalesce("new", "v").cast("int").alias("v"))
+    return px
+
+
+def keep_lossless(px: DataFrame, blocks: DataFrame) -> DataFrame:
+    """px (img, x, y, v, filtered) with v the filtered sample, but where a lossless block (img, x, y, size) covers it: those are known by cells of 4."""
+    cells = F.sequence(F.lit(0), F.col("size") - 1, F.lit(4))
+    cover = blocks.select("img", F.explode(F.transform(cells, lambda s: F.col("x") + s)).alias("__x"), "y", "size").select("img", "__x", F.explode(F.transform(cells, lambda s: F.col("y") + s)).alias("__y"))
+    cover = cover.select("img", F.floor(F.col("__x") / 4).cast("long").alias("__cx"), F.floor(F.col("__y") / 4).cast("long").alias("__cy"), F.lit(True).alias("__kept")).distinct()
+    rows = px.withColumns({"__cx": F.floor(F.col("x") / 4).cast("long"), "__cy": F.floor(F.col("y") / 4).cast("long")}).join(cover, ["img", "__cx", "__cy"], "left")
+    return rows.withColumn("v", F.when(F.col("__kept"), F.col("v")).otherwise(F.col("filtered"))).drop("__cx", "__cy", "__kept", "filtered")
+
+
+def unit_edges(units: DataFrame) -> DataFrame:
+    """(tu, side, x, y): the left and top edges of transform units (tu, x, y, size) in cells of 4, those at the picture's border left out."""
+    steps = F.sequence(F.lit(0), F.col("size") - 1, F.lit(4))
+    left = units.where("x > 0").select("tu", F.lit("left").alias("side"), "x", F.explode(F.transform(steps, lambda s: (F.col("y") + s).cast("int"))).alias("y"))
+    top = units.where("y > 0").select("tu", F.lit("top").alias("side"), F.explode(F.transform(steps, lambda s: (F.col("x") + s).cast("int"))).alias("x"), "y")
+    return left.unionByName(top)
+
+
+def borders(px: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """(img, x0, y0, border): the 4 size + 1 neighbours of blocks (img, x0, y0), from bottom left over the corner to top right; null where there is no sample."""
+    c = 2 * size
+    spots = F.transform(F.sequence(F.lit(0), F.lit(4 * size)), lambda i: F.struct(i.alias("i"), F.when(i <= c, F.col("x0") - 1).otherwise(F.col("x0") + i - c - 1).cast("int").alias("x"), F.when(i < c, F.col("y0") + c - 1 - i).otherwise(F.col("y0") - 1).cast("int").alias("y")))
+    rows = blocks.select("img", "x0", "y0", F.explode(spots).alias("s")).select("img", "x0", "y0", "s.i", "s.x", "s.y")
+    found = rows.join(px.select("img", "x", "y", "v"), ["img", "x", "y"], "left")
+    lists = found.groupBy("img", "x0", "y0").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("b"))
+    return lists.select("img", "x0", "y0", F.transform("b", lambda s: s["v"]).alias("border"))
+
+
+def paste(tiles: DataFrame, columns: int, tile_width: int, tile_height: int, width: int, height: int) -> DataFrame:
+    """(img, x, y, v) of tiles (img, tile, x, y, v) laid by rows; what is beyond the picture is cut."""
+    x, y = F.col("x") + F.col("tile") % columns * tile_width, F.col("y") + F.floor(F.col("tile") / columns) * tile_height
+    return tiles.select("img", x.cast("int").alias("x"), y.cast("int").alias("y"), "v").where((F.col("x") < width) & (F.col("y") < height))

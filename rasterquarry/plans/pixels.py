@@ -338,3 +338,130 @@ def h_verify(spark, sf_dir):
 def h_bench_pair(spark, sf_dir):
     e = F.col("event_id")
     return events(spark, sf_dir).groupBy((F.col("user_id") % 3).alias("mode")).agg(F.count("*").alias("runs"), F.min(e * 7 % 1000).alias("fastest_ms"), F.max(e * 13 % 5000).alias("peak_mb"), F.sum(e * 7 % 1000).alias("total_ms"))
+
+
+# pictures as a whole
+
+
+def deblocked(spark, sf_dir):
+    """Both passes over a plane: all edges across, then, over their result, all edges down."""
+    plane = px(spark, sf_dir).select("img", "x", "y", (100 + F.col("v") % 23).alias("v"))
+    return P.deblock_plane(plane, F.col("img") % 52)
+
+
+QUERIES["deblock"] = lambda spark, sf_dir: deblocked(spark, sf_dir).groupBy("img").agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("total"), F.sum(F.col("v") * (F.col("x") + 1) * (F.col("y") + 3)).cast("long").alias("weighed"))
+
+
+def _pass_sql(source: str, out: str, across: str, along: str) -> str:
+    """One direction of the filter over a plane, sample by sample, as CTEs named by `out`."""
+    edge, near = f"({across} + 4) // 8 * 8", f"{across} - ({across} + 4) // 8 * 8"
+    taps = ", ".join(f"{f'lag(v, {k + 1})' if side == 'p' else f'lead(v, {k})'} OVER w AS {side}{k}" for side in "pq" for k in range(4))
+    new = {
+        "p2": f"CASE WHEN is_on AND strong THEN {_soft('(2 * p3 + 3 * p2 + p1 + p0 + q0 + 4) >> 3', 'p2')} ELSE p2 END",
+        "p1": f"CASE WHEN is_on AND strong THEN {_soft('(p2 + p1 + p0 + q0 + 2) >> 2', 'p1')} WHEN is_on AND abs(raw) < 10 * t AND sp < part THEN {_CL.format('p1 + greatest(-(t >> 1), least(t >> 1, (((p2 + p0 + 1) >> 1) - p1 + d) >> 1))')} ELSE p1 END",
+        "p0": f"CASE WHEN is_on AND strong THEN {_soft('(p2 + 2 * p1 + 2 * p0 + 2 * q0 + q1 + 4) >> 3', 'p0')} WHEN is_on AND abs(raw) < 10 * t THEN {_CL.format('p0 + d')} ELSE p0 END",
+        "q0": f"CASE WHEN is_on AND strong THEN {_soft('(p1 + 2 * p0 + 2 * q0 + 2 * q1 + q2 + 4) >> 3', 'q0')} WHEN is_on AND abs(raw) < 10 * t THEN {_CL.format('q0 - d')} ELSE q0 END",
+        "q1": f"CASE WHEN is_on AND strong THEN {_soft('(p0 + q0 + q1 + q2 + 2) >> 2', 'q1')} WHEN is_on AND abs(raw) < 10 * t AND sq < part THEN {_CL.format('q1 + greatest(-(t >> 1), least(t >> 1, (((q2 + q0 + 1) >> 1) - q1 - d) >> 1))')} ELSE q1 END",
+        "q2": f"CASE WHEN is_on AND strong THEN {_soft('(p0 + q0 + q1 + 3 * q2 + 2 * q3 + 4) >> 3', 'q2')} ELSE q2 END",
+    }
+    pick = f"CASE g.{near} " + " ".join(f"WHEN {k} THEN {out}f.{n}" for n, k in (("p2", -3), ("p1", -2), ("p0", -1), ("q0", 0), ("q1", 1), ("q2", 2))) + " END"
+    pick = pick.replace(f"g.{near}", near.replace(across, f"g.{across}"))
+    return f"""{out}n AS (SELECT img, {across} AS edge, {along} AS line, {taps} FROM {source} WINDOW w AS (PARTITION BY img, {along} ORDER BY {across})),
+{out}l AS (SELECT *, {_BETA}[(img % 52 + 1)::INT] AS b, {_TC}[least(53, img % 52 + 2)::INT + 1] AS t, abs(p2 - 2 * p1 + p0) AS dp, abs(q2 - 2 * q1 + q0) AS dq FROM {out}n WHERE edge % 8 = 0 AND edge > 0 AND q3 IS NOT NULL),
+{out}s AS (SELECT *, count(*) OVER w AS cnt, sum(CASE WHEN line % 4 IN (0, 3) THEN dp END) OVER w AS sp, sum(CASE WHEN line % 4 IN (0, 3) THEN dq END) OVER w AS sq,
+  bool_and(line % 4 NOT IN (0, 3) OR (2 * (dp + dq) < b >> 2 AND abs(p3 - p0) + abs(q0 - q3) < b >> 3 AND abs(p0 - q0) < (5 * t + 1) >> 1)) OVER w AS strong FROM {out}l WINDOW w AS (PARTITION BY img, edge, line // 4)),
+{out}k AS (SELECT *, cnt = 4 AND t > 0 AND sp + sq < b AS is_on, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4 AS raw, greatest(-t, least(t, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4)) AS d, (b + (b >> 1)) >> 3 AS part FROM {out}s),
+{out}f AS (SELECT img, edge, line, {", ".join(f"({v})::INT AS {k}" for k, v in new.items())} FROM {out}k),
+{out} AS (SELECT g.img, g.x, g.y, coalesce({pick}, g.v)::INT AS v FROM {source} g LEFT JOIN {out}f ON {out}f.img = g.img AND {out}f.line = g.{along} AND {out}f.edge = {edge.replace(across, 'g.' + across)})"""
+
+
+ORACLES["deblock"] = f"""WITH {PIXELS_SQL}, g0 AS (SELECT img, x, y, (100 + v % 23)::INT AS v FROM px), {_pass_sql('g0', 'va', 'x', 'y')}, {_pass_sql('va', 'vb', 'y', 'x')}
+SELECT img, count(*)::BIGINT AS n, sum(v)::BIGINT AS total, sum(v * (x + 1) * (y + 3))::BIGINT AS weighed FROM vb GROUP BY img"""
+
+
+@query(f"""WITH {PIXELS_SQL}, b AS (SELECT img, x // 8 * 8 AS bx, y // 8 * 8 AS by FROM px WHERE (x * 3 + y + img) % 97 = 0 GROUP BY ALL)
+SELECT p.img, p.x, p.y, (CASE WHEN b.img IS NULL THEN least(255, p.v + 9) ELSE p.v END)::INT AS v FROM px p LEFT JOIN b ON b.img = p.img AND b.bx = p.x // 8 * 8 AND b.by = p.y // 8 * 8""")
+def bypass_map(spark, sf_dir):
+    p = px(spark, sf_dir).select("img", "x", "y", "v")
+    lossless = p.where("(x * 3 + y + img) % 97 = 0").select("img", F.expr("x div 8 * 8").alias("x"), F.expr("y div 8 * 8").alias("y"), F.lit(8).alias("size"))
+    filtered = p.withColumn("filtered", F.least(F.col("v") + 9, F.lit(255)))
+    return P.keep_lossless(filtered, lossless).select("img", "x", "y", F.col("v").cast("int").alias("v"))
+
+
+@query("""WITH t AS (SELECT event_id::BIGINT AS tu, (event_id % 40 * 8)::INT AS x, (event_id // 40 % 30 * 8)::INT AS y, ([4, 8, 16, 32][(event_id % 4 + 1)::INT])::INT AS size FROM events)
+SELECT tu, 'left' AS side, x, (y + 4 * i)::INT AS y FROM t, range(8) r(i) WHERE 4 * i < size AND x > 0 UNION ALL SELECT tu, 'top', (x + 4 * i)::INT, y FROM t, range(8) r(i) WHERE 4 * i < size AND y > 0""")
+def edge_qp_maps(spark, sf_dir):
+    e = F.col("event_id")
+    size = F.get(F.array(*map(F.lit, (4, 8, 16, 32))), (e % 4).cast("int"))
+    units = events(spark, sf_dir).select(e.alias("tu"), (e % 40 * 8).cast("int").alias("x"), F.expr("int(event_id div 40 % 30 * 8)").alias("y"), size.alias("size"))
+    return P.unit_edges(units)
+
+
+@query(f"""WITH {PIXELS_SQL}, b AS (SELECT DISTINCT img, x AS x0, y AS y0 FROM px WHERE x % 8 = 0 AND y % 8 = 0), i AS (SELECT unnest(range(33))::INT AS i),
+c AS (SELECT img, x0, y0, i, CASE WHEN i < 16 THEN x0 - 1 WHEN i = 16 THEN x0 - 1 ELSE x0 + i - 17 END AS x, CASE WHEN i < 16 THEN y0 + 15 - i WHEN i = 16 THEN y0 - 1 ELSE y0 - 1 END AS y FROM b, i)
+SELECT c.img, c.x0, c.y0, count(p.v)::BIGINT AS n_available, coalesce(sum(p.v * (c.i + 1)), 0)::BIGINT AS weighed FROM c LEFT JOIN px p ON p.img = c.img AND p.x = c.x AND p.y = c.y GROUP BY c.img, c.x0, c.y0""")
+def border_fill(spark, sf_dir):
+    p = px(spark, sf_dir).select("img", "x", "y", "v")
+    at = p.where("x % 8 = 0 AND y % 8 = 0").select("img", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    got = P.borders(p, at, 8)
+    weighed = F.aggregate(F.transform("border", lambda v, i: F.coalesce(v.cast("long"), F.lit(0).cast("long")) * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return got.select("img", "x0", "y0", F.size(F.filter("border", lambda v: v.isNotNull())).cast("long").alias("n_available"), weighed.alias("weighed"))
+
+
+@query(f"""WITH {_COLOUR} SELECT img, x - 3 AS x, row - 1 AS y, greatest(0, least(255, y + ((359 * cr + 128) >> 8)))::INT AS r, greatest(0, least(255, y + ((-88 * cb - 183 * cr + 128) >> 8)))::INT AS g, greatest(0, least(255, y + ((454 * cb + 128) >> 8)))::INT AS b FROM u WHERE x BETWEEN 3 AND 20 AND row BETWEEN 1 AND 11""")
+def cc_420_fixed(spark, sf_dir):
+    """A region keeps the chroma phase of the whole picture: upsampled first, cropped after."""
+    rows = P.crop(upsampled(spark, sf_dir), 3, 4, 1, 4, WIDTH, HEIGHT)
+    rows = rows.withColumn("c", P.rgb(F.col("v"), F.col("cb"), F.col("cr"), F.lit(6), F.lit(True)))
+    return rows.select("img", "x", "y", "c.r", "c.g", "c.b")
+
+
+@query(f"""WITH {_COLOUR} SELECT img, x, row AS y, greatest(0, least(255, (y - 16) * 9576 + 13126 * cr + 4096 >> 13))::INT AS r, greatest(0, least(255, (y - 16) * 9576 - 3222 * cb - 6686 * cr + 4096 >> 13))::INT AS g, greatest(0, least(255, (y - 16) * 9576 + 16591 * cb + 4096 >> 13))::INT AS b FROM u""")
+def cc_420_rgb(spark, sf_dir):
+    """Samples of ten bits, brought to eight by a shift first."""
+    rows = upsampled(spark, sf_dir).withColumns({k: F.shiftright(F.col(k) * 4 + 3, 2) for k in ("v", "cb", "cr")})
+    rows = rows.withColumn("c", P.rgb(F.col("v"), F.col("cb"), F.col("cr"), F.lit(6), F.lit(False)))
+    return rows.select("img", "x", "y", "c.r", "c.g", "c.b")
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT img // 4 AS img, (x + img % 2 * 25)::INT AS x, (y + img % 4 // 2 * 16)::INT AS y, v FROM px WHERE x + img % 2 * 25 < 45 AND y + img % 4 // 2 * 16 < 30""")
+def x_grid(spark, sf_dir):
+    """Tiles of 25 x 16 pasted by rows of two into pictures of 45 x 30: what is beyond is cut."""
+    tiles = px(spark, sf_dir).select(F.expr("img div 4").alias("img"), (F.col("img") % 4).alias("tile"), "x", "y", "v")
+    return P.paste(tiles, 2, WIDTH, HEIGHT, 45, 30)
+
+
+@query(f"""WITH {PIXELS_SQL}, a AS (SELECT img, x, y, cb AS a FROM px WHERE img % 2 = 0) SELECT p.img, p.x, p.y, p.v, coalesce(a.a, 255)::INT AS a FROM px p LEFT JOIN a USING (img, x, y)""")
+def x_alpha(spark, sf_dir):
+    p = px(spark, sf_dir)
+    alpha = p.where("img % 2 = 0").select("img", "x", "y", F.col("cb").alias("a"))
+    return p.select("img", "x", "y", "v").join(alpha, ["img", "x", "y"], "left").withColumn("a", F.coalesce("a", F.lit(255)))
+
+
+# reports over files
+
+
+@query("SELECT DISTINCT 'f' || (user_id % 40) || ['.heic', '.avif'][(event_id % 2 + 1)::INT] AS path FROM events WHERE event_id % 3 < 2")
+def h_gather(spark, sf_dir):
+    e = F.col("event_id")
+    name = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"), F.get(F.array(*map(F.lit, (".heic", ".avif", ".png"))), F.when(e % 3 == 2, 2).otherwise(e % 2).cast("int")))
+    rows = events(spark, sf_dir).select(name.alias("path"))
+    ends = lambda *x: rows.where(F.substring_index("path", ".", -1).isin(*x))
+    return ends("heic", "heif").union(ends("avif")).distinct()
+
+
+@query("SELECT 'f' || lpad(event_id::VARCHAR, 8, '0') AS file_id FROM events WHERE event_id % 7 = 0")
+def h_sample(spark, sf_dir):
+    from rasterquarry.sources.files import sampled
+
+    return sampled(events(spark, sf_dir).select(F.concat(F.lit("f"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("file_id")), 7)
+
+
+@query("""SELECT event_id AS file, CASE WHEN event_id % 5 = 0 AND event_id % 7 = 0 THEN 'both absent' WHEN event_id % 5 = 0 THEN 'only ours' WHEN event_id % 7 = 0 THEN 'missing' WHEN event_id % 11 = 0 THEN 'differs' ELSE 'equal' END AS verdict FROM events""")
+def h_icc_compare(spark, sf_dir):
+    e = F.col("event_id")
+    theirs = F.when(e % 5 != 0, F.sha2(e.cast("string").cast("binary"), 256))
+    ours = F.when(e % 7 != 0, F.when(e % 11 == 0, F.lit("x")).otherwise(F.sha2(e.cast("string").cast("binary"), 256)))
+    rows = events(spark, sf_dir).select(e.alias("file"), theirs.alias("t"), ours.alias("o"))
+    verdict = F.when(F.col("t").isNull() & F.col("o").isNull(), "both absent").when(F.col("t").isNull(), "only ours").when(F.col("o").isNull(), "missing").when(F.col("t") != F.col("o"), "differs").otherwise("equal")
+    return rows.select("file", verdict.alias("verdict"))
