@@ -17,6 +17,7 @@ WINDOW, LENGTH = 7, 64
 RUN = 3
 #: Signatures are alike only if they share a piece of at most so many characters, as unrelated ones share single characters by chance.
 COMMON = 4
+KEPT_POWERS = 1 << 20
 _TABLE = np.random.default_rng(20).integers(0, 1 << 32, 256, np.uint32)
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -33,10 +34,12 @@ _POWERS, _INVERSES = _powers(_P, 1 << 14), _powers(_P_INVERSE, 1 << 14)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i for i < n, for the base and its inverse mod 2 ** 64; kept for the longest text so far."""
+    """base ** i for i < n, for the base and its inverse mod 2 ** 64; kept between texts up to a bound."""
     global _POWERS, _INVERSES
+    if n > KEPT_POWERS:
+        return _powers(_P, n), _powers(_P_INVERSE, n)
     if len(_POWERS) < n:
-        _POWERS, _INVERSES = _powers(_P, 2 * n), _powers(_P_INVERSE, 2 * n)
+        _POWERS, _INVERSES = _powers(_P, min(2 * n, KEPT_POWERS)), _powers(_P_INVERSE, min(2 * n, KEPT_POWERS))
     return _POWERS[:n], _INVERSES[:n]
 
 

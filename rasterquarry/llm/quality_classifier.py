@@ -27,7 +27,7 @@ SUM_TASKS = 64
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """(texts, 21): statistics of whole texts, on scales on which a Gaussian kernel makes sense."""
+    """(texts, 22): statistics of whole texts, on scales on which a Gaussian kernel makes sense."""
     w, hashes, m = docstats.measure(texts)
     kinds = m["classes"].astype(float)
     total = np.maximum(kinds.sum(1), 1)
