@@ -245,6 +245,78 @@ def parameter_sets(nals: DataFrame, kind: int) -> DataFrame:
     return nals.where(F.col("type") == kind).select("item", "payload").mapInArrow(partial(_parameter_batches, kind=kind, names=names), f"item {nals.schema['item'].dataType.simpleString()}, {ddl}, error string")
 
 
+def slice_header(data: bytes, kind: int, s: dict, p: dict) -> dict:
+    """The header of an intra slice of an IDR picture under its parameter sets; other slices are rejected."""
+    r = Bits(data)
+    if not r.u(1):
+        raise ValueError("only one slice a picture is supported")
+    if kind not in (19, 20):
+        raise ValueError("only IDR pictures are supported")
+    out = {"no_output_of_prior": r.u(1), "pps_id": r.ue()}
+    r.u(p.get("extra_bits") or 0)
+    out["slice_type"] = r.ue()
+    if out["slice_type"] != 2:
+        raise ValueError("only intra slices are supported")
+    out["output"] = r.u(1) if p.get("output_flag") else 1
+    if s.get("separate_planes"):
+        r.u(2)
+    colour = s.get("chroma_format") and not s.get("separate_planes")
+    out |= {"sao_luma": r.u(1) if s.get("sao") else 0, "sao_chroma": r.u(1) if s.get("sao") and colour else 0}
+    out["qp"] = p["init_qp"] + r.se()
+    out |= {"cb_qp_offset": r.se(), "cr_qp_offset": r.se()} if p.get("slice_chroma_qp") else {"cb_qp_offset": 0, "cr_qp_offset": 0}
+    out |= {k: p.get(k) or 0 for k in ("deblock_off", "beta_offset", "tc_offset")}
+    if p.get("deblock_override") and r.u(1):
+        out["deblock_off"] = r.u(1)
+        if not out["deblock_off"]:
+            out |= {"beta_offset": 2 * r.se(), "tc_offset": 2 * r.se()}
+    if p.get("loop_across_slices") and (out["sao_luma"] or out["sao_chroma"] or not out["deblock_off"]):
+        r.u(1)
+    ends = []
+    if p.get("wavefront"):
+        n = r.ue()
+        if n > 8 * len(data):
+            raise ValueError("too many entry points")
+        width = r.ue() + 1 if n else 0
+        for _ in range(n):
+            ends.append((ends[-1] if ends else 0) + r.u(width) + 1)
+    return out | {"entry_points": ends}
+
+
+SLICE = "no_output_of_prior long, pps_id long, slice_type long, output long, sao_luma long, sao_chroma long, qp long, cb_qp_offset long, cr_qp_offset long, deblock_off long, beta_offset long, tc_offset long, entry_points array<long>"
+
+
+def _slice_batches(batches, names):
+    for batch in batches:
+        out, errors = {n: [] for n in names}, []
+        for row in batch.to_pylist():
+            got, error = {}, None
+            try:
+                if row["sps"] is None or row["pps"] is None:
+                    raise ValueError("missing parameter set")
+                got = slice_header(row["payload"] or b"", row["type"], row["sps"], row["pps"])
+            except ValueError as e:
+                error = str(e)
+            for n in names:
+                out[n].append(got.get(n))
+            errors.append(error)
+        lists = {"entry_points": pa.list_(pa.int64())}
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], lists.get(n, pa.int64())) for n in names), pa.array(errors, pa.string())], names=["item", *names, "error"])
+
+
+def slice_headers(nals: DataFrame) -> DataFrame:
+    """The slice headers of nal_units' base-layer slices under the item's last SPS and PPS."""
+    def last(kind: int) -> DataFrame:
+        own = nals.where(F.col("type") == kind).groupBy("item").agg(F.max_by("payload", "pos").alias("payload")).withColumn("type", F.lit(kind))
+        got = parameter_sets(own, kind).where("error IS NULL").drop("error")
+        name = {33: "sps", 34: "pps"}[kind]
+        return got.select("item", F.struct(*(c for c in got.columns if c != "item")).alias(name))
+
+    rows = nals.where(nal_class(F.col("type"))["slice"] & (F.col("layer") == 0)).select("item", "type", "payload")
+    names = [c.split()[0] for c in SLICE.split(", ")]
+    both = rows.join(last(33), "item", "left").join(last(34), "item", "left").select("item", "type", "payload", "sps", "pps")
+    return both.mapInArrow(partial(_slice_batches, names=names), f"item {nals.schema['item'].dataType.simpleString()}, {SLICE}, error string")
+
+
 # Closed formulas
 
 

@@ -77,6 +77,14 @@ def orientation_of(exif: bytes | None) -> int | None:
     return None
 
 
+def upright(image: np.ndarray, orientation: int | None) -> np.ndarray:
+    """The image as its EXIF orientation means it; 1 or none leaves it."""
+    if orientation in (5, 6, 7, 8):
+        image = image.transpose(1, 0, 2)
+    flip = {2: (1,), 3: (0, 1), 4: (0,), 6: (1,), 7: (0, 1), 8: (0,)}.get(orientation, ())
+    return np.flip(image, flip) if flip else image
+
+
 def png(image: np.ndarray) -> bytes:
     """A PNG file of (height, width, 4) 8-bit samples."""
     height, width, _ = image.shape

@@ -280,6 +280,22 @@ def rgb(y: Column, cb: Column, cr: Column, matrix: Column, full_range: Column) -
     return F.struct(*(clamp(F.when(full_range, a).otherwise(b), 0, 255).cast("int").alias(n) for n, a, b in zip("rgb", full, limited)))
 
 
+def rgb_float(y: Column, cb: Column, cr: Column, kr: float, kb: float, bit_depth: int = 8, full_range: bool = True) -> Column:
+    """struct<r, g, b> by 32-bit float arithmetic without fused steps, half added, truncated and clipped.
+
+    kr and kb are the matrix' luma weights. Limited range scales luma by 1.1689 and chroma by 1.1429.
+    """
+    f = lambda v: F.lit(float(v)).cast("float")
+    up = 1 << (bit_depth - 8)
+    luma = y.cast("float") if full_range else (y.cast("float") - f(16 * up)) * f(1.1689)
+    blue, red = (c.cast("float") - f(128 * up) for c in (cb, cr))
+    if not full_range:
+        blue, red = blue * f(1.1429), red * f(1.1429)
+    kg = 1 - kr - kb
+    parts = {"r": luma + f(2 * (1 - kr)) * red, "g": luma + f(-2 * kb * (1 - kb) / kg) * blue + f(-2 * kr * (1 - kr) / kg) * red, "b": luma + f(2 * (1 - kb)) * blue}
+    return F.struct(*(clamp((v + f(0.5)).cast("int"), 0, (1 << bit_depth) - 1).alias(k) for k, v in parts.items()))
+
+
 def replicate_bits(v: Column, bit_depth: int) -> Column:
     """A sample widened to 16 bits by repeating its high bits."""
     up = 16 - bit_depth

@@ -186,3 +186,16 @@ def ps_ptl(spark, sf_dir):
     bits = packed("0000", "11", "000000", "000", "1", "1" * 16, ptl)
     nals = events(spark, sf_dir).select(k.alias("item"), F.lit(32).alias("type"), bits.alias("payload"))
     return C.parameter_sets(nals, 32).select("item", "profile_space", "tier", "profile", "level")
+
+
+@query(f"""WITH {E_SQL} SELECT e AS item, 2::BIGINT AS slice_type, e % 2 AS sao_luma, (1 - e % 2) * (e % 2) AS sao_chroma, 26 - e % 4 AS qp, 10 + e % 7 || ',' || (30 + 2 * (e % 7)) AS entry_points, NULL::VARCHAR AS error FROM f""".replace("(1 - e % 2) * (e % 2)", "e % 2 * (e // 2 % 2)"))
+def slice_hdr(spark, sf_dir):
+    k = F.col("event_id")
+    sps = packed("0000", "000", "1", PTL, "1", ue(F.lit(1)), ue(F.lit(640)), ue(F.lit(480)), "0", ue(F.lit(0)), ue(F.lit(0)), ue(F.lit(4)), "1", "1", "1", "1", ue(F.lit(0)), ue(F.lit(3)), ue(F.lit(0)), ue(F.lit(3)), "1", "1", "0", "0", (k % 2).cast("string"), "0")
+    pps = packed("1", "1", "0", "0", "000", "0", "0", "1", "1", "1", "0", "0", "0", "1", "1", "0", "00", "0", "0", "1", "0", "0", "0")
+    sao = F.when(k % 2 == 1, F.concat(F.lit("1"), F.expr("event_id div 2 % 2").cast("string"))).otherwise("")
+    offset = lambda v: F.lpad(F.bin(v - 1), 6, "0")
+    head = packed("1", "0", "1", "011", sao, ue(F.when(k % 4 == 0, 0).otherwise(2 * (k % 4))), ue(F.lit(2)), ue(F.lit(5)), offset(k % 7 + 10), offset(k % 7 + 20))
+    one = lambda kind, pos, body: events(spark, sf_dir).select(k.alias("item"), F.lit(pos).alias("pos"), F.lit(kind).alias("type"), F.lit(0).alias("layer"), body.alias("payload"))
+    nals = one(33, 0, sps).union(one(34, 1, pps)).union(one(19, 2, head))
+    return C.slice_headers(nals).select("item", "slice_type", "sao_luma", "sao_chroma", "qp", F.array_join(F.col("entry_points").cast("array<string>"), ",").alias("entry_points"), "error")

@@ -465,3 +465,28 @@ def h_icc_compare(spark, sf_dir):
     rows = events(spark, sf_dir).select(e.alias("file"), theirs.alias("t"), ours.alias("o"))
     verdict = F.when(F.col("t").isNull() & F.col("o").isNull(), "both absent").when(F.col("t").isNull(), "only ours").when(F.col("o").isNull(), "missing").when(F.col("t") != F.col("o"), "differs").otherwise("equal")
     return rows.select("file", verdict.alias("verdict"))
+
+
+def _float_sql(depth: int, full: bool) -> str:
+    kr, kb = 0.2126, 0.0722
+    kg = 1 - kr - kb
+    up = 1 << (depth - 8)
+    f = lambda v: f"{float(v)!r}::FLOAT"
+    s = "" if full else f" * {f(1.1429)}"
+    luma = "v::FLOAT" if full else f"(v::FLOAT - {f(16 * up)}) * {f(1.1689)}"
+    blue, red = f"(b::FLOAT - {f(128 * up)}){s}", f"(r::FLOAT - {f(128 * up)}){s}"
+    parts = {"r": f"{luma} + {f(2 * (1 - kr))} * ({red})", "g": f"{luma} + {f(-2 * kb * (1 - kb) / kg)} * ({blue}) + {f(-2 * kr * (1 - kr) / kg)} * ({red})", "b": f"{luma} + {f(2 * (1 - kb))} * ({blue})"}
+    return ", ".join(f"greatest(0, least({(1 << depth) - 1}, trunc({v} + 0.5::FLOAT)::INT))::INT AS {k}" for k, v in parts.items())
+
+
+@query(f"WITH {PIXELS_SQL} SELECT img, x, y, {_float_sql(8, False)} FROM (SELECT img, x, y, v, cb AS b, cr AS r FROM px)")
+def cc_float8(spark, sf_dir):
+    c = P.rgb_float(F.col("v"), F.col("cb"), F.col("cr"), 0.2126, 0.0722, 8, False)
+    return px(spark, sf_dir).select("img", "x", "y", c.alias("c")).select("img", "x", "y", "c.r", "c.g", "c.b")
+
+
+@query(f"WITH {PIXELS_SQL}, c AS (SELECT img, x, y, {_float_sql(10, True)} FROM (SELECT img, x, y, v * 4 + 1 AS v, cb * 4 + 2 AS b, cr * 4 + 3 AS r FROM px)) SELECT img, x, y, (r << 6) | (r >> 4) AS r, (g << 6) | (g >> 4) AS g, (b << 6) | (b >> 4) AS b FROM c")
+def cc_float16(spark, sf_dir):
+    c = P.rgb_float(F.col("v") * 4 + 1, F.col("cb") * 4 + 2, F.col("cr") * 4 + 3, 0.2126, 0.0722, 10, True)
+    rows = px(spark, sf_dir).select("img", "x", "y", c.alias("c"))
+    return rows.select("img", "x", "y", *(P.replicate_bits(F.col(f"c.{k}"), 10).alias(k) for k in "rgb"))
