@@ -47,6 +47,11 @@ def _contract(batches):
         yield flush()
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The stars of what each task holds. Sorted first, so that a task run again after a loss gives the same edges."""
+    return edges.sortWithinPartitions("a", "b").mapInArrow(_contract, "a long, b long").distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge and isn't the least of its component.
 
@@ -56,7 +61,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     to its end's own parent. A round's edges are written to the shared folder; when none changes, they are stars.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = cut(e.mapInArrow(_contract, "a long, b long").distinct())
+    e = cut(_contracted(e))
     state = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.col("a").cast("decimal(38,0)"))).first()
@@ -67,4 +72,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rest = e.join(p, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         small = p.select("a", F.col("m").alias("b")).unionByName(rest)
         up = p.select(F.col("a").alias("b"), "m")
-        e = cut(small.join(up, "b", "left").select("a", F.coalesce("m", "b").alias("b")).mapInArrow(_contract, "a long, b long").distinct())
+        e = cut(_contracted(small.join(up, "b", "left").select("a", F.coalesce("m", "b").alias("b"))))
