@@ -383,3 +383,28 @@ def scaling_factor(size: Column, x: Column, y: Column, lists: Column, dc: Column
     side = F.least(size, F.lit(8))
     own = F.get(lists, (F.floor(y / k) * side + F.floor(x / k)).cast("int"))
     return F.when((size > 8) & (x == 0) & (y == 0), dc).otherwise(own)
+
+
+def golomb_rice(text: Column, rice: Column) -> Column:
+    """A coefficient's remaining level from its bits (0s and 1s): up to three leading ones count whole steps, more of them widen the suffix; null beyond 32 of them."""
+    ones = F.length(F.regexp_extract(text, "^1*", 0))
+    wide = F.greatest(ones - 3, F.lit(0))
+    n = wide + rice
+    suffix = F.coalesce(F.conv(F.substr(text, ones + 2, n), 2, 10).cast("long"), F.lit(0).cast("long"))
+    step = F.pow(F.lit(2), rice).cast("long")
+    base = F.when(ones <= 3, ones * step).otherwise((F.pow(F.lit(2), wide).cast("long") + 2) * step)
+    return F.when(ones <= 32, base + F.when(n > 0, suffix).otherwise(0))
+
+
+def golomb_k(text: Column, k: Column) -> Column:
+    """A k-th order Exp-Golomb value of bypass bins: leading ones add growing powers of two, then a zero and the suffix."""
+    ones = F.length(F.regexp_extract(text, "^1*", 0))
+    n = ones + k
+    suffix = F.when(n > 0, F.conv(F.substr(text, ones + 2, n), 2, 10).cast("long")).otherwise(0)
+    return (F.pow(F.lit(2), n) - F.pow(F.lit(2), k)).cast("long") + suffix
+
+
+def last_position(prefix: Column, suffix: Column) -> Column:
+    """The coordinate of the last significant coefficient from its prefix and suffix."""
+    half = F.shiftright(prefix, 1) - 1
+    return F.when(prefix < 4, prefix).otherwise(F.pow(F.lit(2), half).cast("long") * (2 + prefix % 2) + suffix)

@@ -404,3 +404,9 @@ def paste(tiles: DataFrame, columns: int, tile_width: int, tile_height: int, wid
     """(img, x, y, v) of tiles (img, tile, x, y, v) laid by rows; what is beyond the picture is cut."""
     x, y = F.col("x") + F.col("tile") % columns * tile_width, F.col("y") + F.floor(F.col("tile") / columns) * tile_height
     return tiles.select("img", x.cast("int").alias("x"), y.cast("int").alias("y"), "v").where((F.col("x") < width) & (F.col("y") < height))
+
+
+def skipped_transform(c: Column, bit_depth: int = 8) -> Column:
+    """A residual whose transform is skipped: the coefficient shifted up by seven, then down as after a transform."""
+    shift = 20 - bit_depth
+    return F.shiftright(c * 128 + (1 << shift >> 1), shift)

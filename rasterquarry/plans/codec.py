@@ -199,3 +199,37 @@ def slice_hdr(spark, sf_dir):
     one = lambda kind, pos, body: events(spark, sf_dir).select(k.alias("item"), F.lit(pos).alias("pos"), F.lit(kind).alias("type"), F.lit(0).alias("layer"), body.alias("payload"))
     nals = one(33, 0, sps).union(one(34, 1, pps)).union(one(19, 2, head))
     return C.slice_headers(nals).select("item", "slice_type", "sao_luma", "sao_chroma", "qp", F.array_join(F.col("entry_points").cast("array<string>"), ",").alias("entry_points"), "error")
+
+
+def bits_of(value, n):
+    """The n low bits of a number as text, nothing for n = 0."""
+    return F.when(n > 0, F.lpad(F.bin(value), n.cast("int"), "0")).otherwise("")
+
+
+def _rice_code(v, rice):
+    """How a level is coded: the inverse of golomb_rice, for its query."""
+    step = F.pow(F.lit(2), rice).cast("long")
+    q = F.floor(v / step)
+    wide = F.floor(F.log2((q - 2).cast("double")))
+    small = F.concat(F.repeat(F.lit("1"), q.cast("int")), F.lit("0"), bits_of(v % step, rice))
+    rest = v - (F.pow(F.lit(2), wide).cast("long") + 2) * step
+    large = F.concat(F.repeat(F.lit("1"), (wide + 3).cast("int")), F.lit("0"), bits_of(rest, wide + rice))
+    return F.when(q <= 3, small).otherwise(large)
+
+
+formula("coeff_rem", lambda e: {"level": C.golomb_rice(F.concat(_rice_code(e % 3000, e % 5), F.lit("0110")), (e % 5).cast("int"))}, "e % 3000 AS level")
+
+
+def _k_code(v, k):
+    """The inverse of golomb_k, for its query."""
+    ones = F.floor(F.log2(((v + F.pow(F.lit(2), k)) / F.pow(F.lit(2), k)).cast("double")))
+    rest = v - (F.pow(F.lit(2), ones + k) - F.pow(F.lit(2), k)).cast("long")
+    return F.concat(F.repeat(F.lit("1"), ones.cast("int")), F.lit("0"), bits_of(rest, ones + k))
+
+
+formula("cabac_bypass", lambda e: {"value": C.golomb_k(F.concat(_k_code(e % 2000, e % 3), F.lit("101")), (e % 3).cast("int"))}, "e % 2000 AS value")
+formula(
+    "last_sig",
+    lambda e: {"at": C.last_position((e % 10).cast("int"), e % 2).cast("long")},
+    "CASE WHEN e % 10 < 4 THEN e % 10 ELSE (1 << (e % 10 // 2 - 1)::INT)::BIGINT * (2 + e % 2) + e % 2 END::BIGINT AS at",
+)

@@ -490,3 +490,67 @@ def cc_float16(spark, sf_dir):
     c = P.rgb_float(F.col("v") * 4 + 1, F.col("cb") * 4 + 2, F.col("cr") * 4 + 3, 0.2126, 0.0722, 10, True)
     rows = px(spark, sf_dir).select("img", "x", "y", c.alias("c"))
     return rows.select("img", "x", "y", *(P.replicate_bits(F.col(f"c.{k}"), 10).alias(k) for k in "rgb"))
+
+
+formula("tskip_bypass", lambda e: {"v": F.when(e % 3 == 0, e % 601 - 300).otherwise(P.skipped_transform(e % 601 - 300)).cast("int")}, "(CASE WHEN e % 3 = 0 THEN e % 601 - 300 ELSE ((e % 601 - 300) * 128 + 2048) >> 12 END)::INT AS v")
+
+
+@query(f"WITH s AS ({transform_sql(4, True)}), c AS ({transform_sql(4, False)}) SELECT blk, CASE WHEN blk % 4 = 0 THEN s.residual ELSE c.residual END AS residual FROM s JOIN c USING (blk)")
+def itrans_dispatch(spark, sf_dir):
+    """The sine transform for 4 x 4 intra luma, the cosine transform for the rest."""
+    b = blocks(spark, sf_dir, 4)
+    out = P.inverse_transforms(b.where("blk % 4 = 0"), 4, 8, True).unionByName(P.inverse_transforms(b.where("blk % 4 <> 0"), 4))
+    return out.select("blk", joined("residual"))
+
+
+@query("SELECT event_id AS image, CASE WHEN (event_id % 9 + 1) * (event_id % 7 + 1) * 4 = event_id % 9 * 4 + 8 THEN 'ok' ELSE 'Parameter: sample count' END AS verdict FROM events")
+def hook_convert(spark, sf_dir):
+    """A buffer is taken only if it holds four samples a pixel."""
+    e = F.col("event_id")
+    rows = events(spark, sf_dir).select(e.alias("image"), (e % 9 + 1).alias("w"), (e % 7 + 1).alias("h"), (e % 9 * 4 + 8).alias("n"))
+    return rows.select("image", F.when(F.try_multiply(F.col("w") * 4, F.col("h")) == F.col("n"), "ok").otherwise("Parameter: sample count").alias("verdict"))
+
+
+@query("""SELECT event_id AS file, CASE WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN 'jpeg2000' WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'vvc' END AS kind FROM events""")
+def h_expected_rust(spark, sf_dir):
+    """Expected failures by path part and reason part: a stated list of a few rows, broadcast."""
+    e = F.col("event_id")
+    rows = events(spark, sf_dir).select(e.alias("file"), F.concat(F.get(F.array(*map(F.lit, ("j2k", "vvc", "avc", "hevc"))), (e % 4).cast("int")), F.lit("/"), e.cast("string")).alias("path"), F.when(e % 3 == 0, "item type is unsupported").otherwise("").alias("reason"))
+    known = spark.sql("SELECT * FROM VALUES ('j2k', 'unsupported', 'jpeg2000'), ('vvc', 'unsupported', 'vvc') AS t(part, why, kind)")
+    both = rows.join(F.broadcast(known), F.startswith(rows.path, known.part) & F.contains(rows.reason, known.why), "left")
+    return both.select("file", "kind")
+
+
+@query("SELECT user_id % 10 AS file, count(*)::BIGINT AS runs, sum(event_id % 500)::BIGINT AS ours_ms, sum(event_id % 300 + 1)::BIGINT AS theirs_ms, max(event_id % 900)::BIGINT AS peak_mb, sum(event_id % 500) > 2.5 * sum(event_id % 300 + 1) AS over FROM events GROUP BY 1")
+def h_bench_decode(spark, sf_dir):
+    e = F.col("event_id")
+    sums = events(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("file")).agg(F.count("*").alias("runs"), F.sum(e % 500).alias("ours_ms"), F.sum(e % 300 + 1).alias("theirs_ms"), F.max(e % 900).alias("peak_mb"))
+    return sums.withColumn("over", F.col("ours_ms") > 2.5 * F.col("theirs_ms"))
+
+
+@query("SELECT user_id % 8 AS workers, max(event_id % 400)::BIGINT AS slowest_ms, max(event_id % 2000)::BIGINT AS peak_mb, max(event_id % 2000) > 1536 AS over FROM events GROUP BY 1")
+def h_bench_stream(spark, sf_dir):
+    e = F.col("event_id")
+    sums = events(spark, sf_dir).groupBy((F.col("user_id") % 8).alias("workers")).agg(F.max(e % 400).alias("slowest_ms"), F.max(e % 2000).alias("peak_mb"))
+    return sums.withColumn("over", F.col("peak_mb") > 1536)
+
+
+@query(f"""WITH {PIXELS_SQL}, b AS (SELECT DISTINCT img, x AS x0, y AS y0 FROM px WHERE x % 8 = 0 AND y % 8 = 0 AND x < 24), i AS (SELECT unnest(range(33))::INT AS i),
+c AS (SELECT img, x0, y0, i, CASE WHEN i <= 16 THEN x0 - 1 ELSE x0 + i - 17 END AS x, CASE WHEN i < 16 THEN y0 + 15 - i ELSE y0 - 1 END AS y FROM b, i),
+v AS (SELECT c.*, p.v FROM c LEFT JOIN px p ON p.img = c.img AND p.x = c.x AND p.y = c.y),
+s AS (SELECT img, x0, y0, i - 16 AS i, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY img, x0, y0 ORDER BY i), first_value(v IGNORE NULLS) OVER (PARTITION BY img, x0, y0 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 128) AS v FROM v),
+f AS (SELECT img, x0, y0, i, CASE WHEN i BETWEEN -15 AND 15 THEN (lag(v) OVER w + 2 * v + lead(v) OVER w + 2) >> 2 ELSE v END AS v FROM s WINDOW w AS (PARTITION BY img, x0, y0 ORDER BY i)),
+e AS (SELECT img, x0, y0, max(CASE WHEN i = 9 THEN v END) AS r, max(CASE WHEN i = -9 THEN v END) AS d FROM f GROUP BY ALL)
+SELECT e.img, e.x0, e.y0, sum((((7 - x) * l.v + (x + 1) * r + (7 - y) * t.v + (y + 1) * d + 8) >> 4) * (x + 8 * y + 1))::BIGINT AS weighed
+FROM e, range(8) cx(x), range(8) cy(y), f l, f t WHERE l.img = e.img AND l.x0 = e.x0 AND l.y0 = e.y0 AND l.i = -1 - y AND t.img = e.img AND t.x0 = e.x0 AND t.y0 = e.y0 AND t.i = 1 + x GROUP BY e.img, e.x0, e.y0""")
+def pred_dispatch(spark, sf_dir):
+    """Borders gathered from a plane, filled, smoothed and predicted from: planar 8 x 8 luma blocks."""
+    p = px(spark, sf_dir).select("img", "x", "y", "v")
+    at = p.where("x % 8 = 0 AND y % 8 = 0 AND x < 24").select("img", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    got = P.borders(p, at, 8).withColumn("border", P.substitute_border(F.col("border"), 128))
+    got = got.withColumn("border", P.filter_border(F.col("border"), 8, F.lit(0), True))
+    rows = got.select(F.concat_ws(",", "img", "x0", "y0").alias("blk"), F.lit(0).alias("mode"), "border")
+    out = P.predictions(rows, 8)
+    weighed = F.aggregate(F.transform("predicted", lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    key = F.split("blk", ",")
+    return out.select(key[0].cast("long").alias("img"), key[1].cast("int").alias("x0"), key[2].cast("int").alias("y0"), weighed.alias("weighed"))
