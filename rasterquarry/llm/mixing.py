@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, tabled
+from .store import cut, own_names, tabled
 
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times.
@@ -101,6 +101,10 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     n_chars is that of the row's own text. The cuts come from a narrow table; texts aren't shuffled but joined to one
     row a source.
     """
+    return own_names(docs, lambda rows: _mixed_rows(rows, weights, epochs))
+
+
+def _mixed_rows(docs: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
     cuts = _cuts(cut(_sized(docs.select("doc_id", "source", "text")).drop("text", "source")), weights, epochs)
     rows = _taken(_sized(docs), cuts).where("__taken > 0")
     parts = F.expr("transform(sequence(0L, (__taken - 1) div __size), i -> least(__size, __taken - i * __size))")

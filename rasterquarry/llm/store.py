@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,11 @@ def tabled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/rasterquarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def own_names(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs), for a stage that keeps the columns and has working columns led by `__`: docs' own names of that kind step aside meanwhile."""
+    if not any(c.startswith("__") for c in docs.columns):
+        return stage(docs)
+    aside = [f"aside_{i}{c}" if c.startswith("__") else c for i, c in enumerate(docs.columns)]
+    return stage(docs.toDF(*aside)).toDF(*docs.columns)

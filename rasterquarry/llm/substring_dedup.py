@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import own_names
 from .textops import blocks, column, words
 
 #: A run is the shortest one from a sentence on that has so many sentences and so many words.
@@ -181,6 +182,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def keep_new(docs: DataFrame) -> DataFrame:
     """docs' columns with the text that is left (n_chars its length); a document of which no sentence is left goes."""
+    return own_names(docs, _keep_new)
+
+
+def _keep_new(docs: DataFrame) -> DataFrame:
     out = cleaned(docs).where("__cut = 0 OR __cut < __n")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
