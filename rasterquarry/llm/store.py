@@ -13,7 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Only a local master without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or None
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="rasterquarry-")
     if spark.sparkContext.getCheckpointDir() is None:
