@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .store import cut
+from .store import cut, own_names
 from .textops import blocks
 
 SHINGLE_WORDS, HASH_SEED, MAX_BITS = 4, 42, 4
@@ -48,7 +48,7 @@ def _fingerprints(texts: list[bytes | None], n: int = SHINGLE_WORDS, seed: int =
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        for part in blocks(batch):
+        for part in blocks(batch, most=1 << 20):  # a shingle takes some 100 bytes here
             out = _fingerprints(part.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
@@ -207,6 +207,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that share that doc_id, one stays; of a component without ids, none has a name and one row stays.
     """
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    return own_names(docs, _keep_one)
+
+
+def _keep_one(docs: DataFrame) -> DataFrame:
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # ids are integers, so no id is ""
+    kept = near_duplicates(docs).where("doc_id <=> component_id").select(key.alias("__kept")).distinct()
+    rows = docs.withColumn("__kept", key).join(kept, "__kept", "left_semi").dropDuplicates(["__kept"])  # one shuffle of the texts for both
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

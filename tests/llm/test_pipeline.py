@@ -65,3 +65,18 @@ def test_every_query_is_registered():
         assert sum(name.startswith(f"op{n}_") for name in QUERIES) == 1
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql()) and ORACLES.keys() <= QUERIES.keys()
+
+
+def test_stages_take_nulls_and_clashing_names(spark, small):
+    folder, _ = small
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __kept string, __size long, __hashes int, __id string, skey string, `a b` int"
+    text = "one two three four five. six seven eight nine ten, eleven twelve thirteen. fourteen fifteen sixteen seventeen, eighteen nineteen twenty."
+    rows = [(None,) * 11, (1, text, None, None, None, "k", 1, 2, "i", "s", 3), (None, text + " more", "en", "a", 9, None, None, None, None, None, None), (1, text, None, None, None, "k", 1, 2, "i", "s", 3), (2, "", None, None, 0, "", 0, 0, "", "", 0), (3, text.upper(), "en", "a", 9, "", 0, 0, "", "", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert all(r["__kept"] == "k" and r["a b"] == 3 for r in got if r.doc_id == 1), name
+        assert any(r.doc_id == 1 for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == len(rows)
