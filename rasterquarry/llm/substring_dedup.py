@@ -12,6 +12,9 @@ from .textops import blocks, column, words
 
 #: A run is the shortest one from a sentence on that has so many sentences and so many words.
 RUN_SENTENCES, RUN_WORDS = 3, 12
+#: Where so many words hold fewer whole sentences than a run has, they are a run too. It starts at a sentence, or at a
+#: word whose hash is less than both neighbours', so that a passage gives the same runs whatever stands around it.
+LONG_WORDS = 20
 #: A sentence ends with a word that ends so, or at a line's end. Clauses count as sentences: a passage pasted into
 #: another sentence shares its clauses whole, but neither its first nor its last sentence.
 ENDINGS = b".!?,;:"
@@ -29,8 +32,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Runs:
     """The sentences and runs of a block of texts.
 
-    sentence_text, sentence_at: each sentence's text and its first byte in the block; run r starts at sentence
-    first[r], ends before last[r], belongs to text[r] and has the 64-bit hash hash[r] of its words.
+    word_text, word_at: each word's text and its first byte in the block; sentence: its sentence's number in the block.
+    Run r starts at word first[r], ends before last[r], belongs to text[r] and has the 64-bit hash hash[r] of its words.
     """
 
     def __init__(self, texts: pa.Array):
@@ -61,17 +64,26 @@ class Runs:
             final[-1] = True
         until = np.flatnonzero(final) + 1  # the word after each sentence
         begin = np.concatenate([[0], until[:-1]]) if len(until) else until
-        self.sentence_text, self.sentence_at = of[begin], starts[begin]
+        self.word_text, self.word_at, self.sentence = of, starts, np.cumsum(final) - final
         powers, inverse = _powers(_P, len(starts)), _powers(_P_INVERSE, len(starts))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[: len(hashes)])])
         first = np.arange(len(until))
         last = np.maximum(first + RUN_SENTENCES - 1, np.searchsorted(until, begin + RUN_WORDS))
         inside = last < len(until)
-        first, last = first[inside], last[inside]
-        inside = self.sentence_text[first] == self.sentence_text[last]
-        self.first, last = first[inside], last[inside]
-        self.last, self.text = last + 1, self.sentence_text[self.first]
-        a, b = begin[self.first], until[last]
+        first, last = begin[first[inside]], until[last[inside]]
+        opening = np.zeros(len(starts), bool)
+        opening[begin] = True
+        anchor = opening.copy()
+        if len(starts) > 2:
+            low = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] < hashes[2:])
+            anchor[1:-1] |= low & (of[1:-1] == of[:-2]) & (of[1:-1] == of[2:])
+        long = np.flatnonzero(anchor[: max(0, len(starts) - LONG_WORDS + 1)])
+        ended = np.concatenate([[0], np.cumsum(final)])
+        long = long[ended[long + LONG_WORDS] - ended[long] - ~opening[long] < RUN_SENTENCES]
+        first, last = np.concatenate([first, long]), np.concatenate([last, long + LONG_WORDS])
+        inside = of[first] == of[last - 1]
+        a, b = self.first, self.last = first[inside], last[inside]
+        self.text = of[a]
         h = (sums[b] - sums[a]) * inverse[a]
         h ^= h >> np.uint64(31)
         self.hash = (h * np.uint64(0xD6E8FEB86659FD93) + (b - a).astype(np.uint64)).view(np.int64)
@@ -141,29 +153,34 @@ def _clean_batches(batches):
             again = np.zeros(len(own), bool)
             again[order[1:]] = (runs.text[order][1:] == runs.text[order][:-1]) & (runs.hash[order][1:] == runs.hash[order][:-1])
             out = again | np.isin(own, gone)
-            delta = np.zeros(len(runs.sentence_at) + 1, np.int64)
+            delta = np.zeros(len(runs.word_at) + 1, np.int64)
             np.add.at(delta, runs.first[out], 1)
             np.add.at(delta, runs.last[out], -1)
             removed = np.cumsum(delta[:-1]) > 0
-            n = np.bincount(runs.sentence_text, minlength=len(part))
-            cut = np.bincount(runs.sentence_text[removed], minlength=len(part))
-            ends = np.minimum(np.append(runs.sentence_at, len(runs.data))[1:], runs.offsets[runs.sentence_text + 1])
+            opens = np.flatnonzero(np.diff(runs.sentence, prepend=-1))
+            robbed = np.zeros(len(opens), bool)
+            robbed[runs.sentence[removed]] = True
+            n = np.bincount(runs.word_text[opens], minlength=len(part))
+            cut = np.bincount(runs.word_text[opens[robbed]], minlength=len(part))
+            words_left = np.bincount(runs.word_text[~removed], minlength=len(part))
+            ends = np.minimum(np.append(runs.word_at, len(runs.data))[1:], runs.offsets[runs.word_text + 1])
             mark = np.zeros(len(runs.data) + 1, np.int64)
-            np.add.at(mark, runs.sentence_at[removed], 1)
+            np.add.at(mark, runs.word_at[removed], 1)
             np.add.at(mark, ends[removed], -1)
             kept = np.cumsum(mark)[:-1] == 0
             left = np.concatenate([[0], np.cumsum(kept)])[runs.offsets].astype(np.int32)
             text = pa.StringArray.from_buffers(len(part), pa.py_buffer(left.tobytes()), pa.py_buffer(runs.data[kept].tobytes()))
             arrays = [text if f.name == "text" else part.column(f.name) for f in part.schema if f.name != "__hashes"]
             names = [f.name for f in part.schema if f.name != "__hashes"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n), pa.array(cut)], names=[*names, "__n", "__cut"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n), pa.array(cut), pa.array(words_left)], names=[*names, "__n", "__cut", "__left"])
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """docs' rows and columns with the text that is left, and __n and __cut: its sentences, and how many of them went.
+    """docs' rows and columns with the text that is left, and __n, __cut, __left: its sentences, how many of them lost words, and the words left.
 
-    A sentence goes if it is in a run that a document of a smaller id has, or that the same text has before. So the
-    first of equal passages stays, and every sentence that goes is left somewhere. Null texts become empty; they and
+    A word goes if it is in a run that a document of a smaller id has, or that the same text has before. Runs are of
+    whole sentences or, where sentences are long, of LONG_WORDS words, which can take a part of a sentence. So the
+    first of equal passages stays, and what goes is left somewhere. Null texts become empty; they and
     texts shorter than a run stay as they are. Rows with one id count as one document and don't rob each other; a null
     id comes before all others. Words count, not the space between them.
     """
@@ -172,7 +189,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     rows = rows.select(*(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce("__hashes", none).alias("__hashes"))
     fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(_clean_batches, f"{fields}, __n long, __cut long")
+    return rows.mapInArrow(_clean_batches, f"{fields}, __n long, __cut long, __left long")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -181,12 +198,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def keep_new(docs: DataFrame) -> DataFrame:
-    """docs' columns with the text that is left (n_chars its length); a document of which no sentence is left goes."""
+    """docs' columns with the text that is left (n_chars its length); a document of which no word is left goes."""
     return own_names(docs, _keep_new)
 
 
 def _keep_new(docs: DataFrame) -> DataFrame:
-    out = cleaned(docs).where("__cut = 0 OR __cut < __n")
+    out = cleaned(docs).where("__cut = 0 OR __left > 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

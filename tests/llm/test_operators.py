@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -293,6 +294,23 @@ def test_rows_with_one_id_keep_their_text(make):
     assert sorted(r[3] for r in out) == [0, 0, 3]
 
 
+def test_passages_of_long_sentences_go(make):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    for ends in ((), (29,), (29, 59), (9, 44)):  # where the passage's sentences end
+        passage = some(60)
+        passage = " ".join(w + "." * (i in ends) for i, w in enumerate(passage))
+        around = [[" ".join(some(15)) for _ in range(2)] for _ in range(2)]
+        texts = [f"{a} {passage} {b}" for a, b in around]
+        one, two = (r.text for r in sorted(substring_dedup.deduplicate(make([(i, t, None) for i, t in enumerate(texts)])).collect(), key=lambda r: r.doc_id))
+        assert one == texts[0]
+        left = two.split()
+        assert left[:15] == around[1][0].split() and left[-15:] == around[1][1].split()
+        assert len(left) <= 30 + 12
+        assert " ".join(x.text for x in substring_dedup.keep_new(make([(0, passage, None), (1, passage + " " + around[0][0], None), (2, passage, None)])).collect() if x.doc_id == 1).endswith(around[0][0])
+
+
 # 8 quality rules
 
 
