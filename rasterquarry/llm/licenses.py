@@ -33,11 +33,16 @@ KNOWN = (
 )
 #: Spellings that count as one, after case and punctuation are gone; longer ones first where they overlap.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("https", "http"))
-_NOTICE = r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words that go on after "copyright" in running text, which a line may begin with wherever it is wrapped.
+_PROSE = r"(?:notices?|holders?|owners?|laws?|licen[cs]es?|and|or|on|in|of|is|are|if|disclaimer|interests?|treaty|permission|statement|doctrines?)\b|the(?:[ \t\r]*$|[ \t]+(?:software|library)\b)"
+#: A line that is a notice: a sign, a year, a placeholder or a name after "copyright", a year after the sign.
+_NOTICE = rf"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©)|copyright[ \t:]+(?!{_PROSE})[\p{{L}}\p{{N}}<\[{{]|\(c\)[ \t]*(?:copyright\b|\d{{4}})|©|all rights reserved[. \t\r]*$)[^\n]*$"
+#: The SQL's own, wider form: it drops every line that begins so. Both agree on the test tables.
+_SQL_NOTICE = r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case without copyright lines, each run of other characters than letters and digits a space, spellings made one."""
+    """Lower case without copyright notices, each run of other characters than letters and digits a space, spellings made one."""
     out = F.regexp_replace(F.lower(text), _NOTICE, " ")
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     for other, one in SPELLINGS:
@@ -79,12 +84,12 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same as DuckDB SQL over documents."""
+    """The same as DuckDB SQL over documents, but for lines in running text that begin with "copyright" (see _SQL_NOTICE)."""
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def form(text: str) -> str:
-        out = f"trim(regexp_replace(regexp_replace(lower({text}), {quote(_NOTICE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))".replace("\\\\", "\\")
+        out = f"trim(regexp_replace(regexp_replace(lower({text}), {quote(_SQL_NOTICE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))".replace("\\\\", "\\")
         for other, one in SPELLINGS:
             out = f"replace({out}, {quote(other)}, {quote(one)})"
         return out

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -273,6 +274,18 @@ def test_license_scan(spark, make, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.fill(x, width) for x in text.split("\n"))
+
+
+def test_known_texts_are_found_at_every_width(spark, make):
+    texts = [("MIT", licenses._MIT), ("ISC", licenses._ISC), ("0BSD", licenses._ZERO)]
+    heads = ["", "Copyright (c) 2020 A. Person\n\n", "Copyright 2020-2021 The Authors\nAll rights reserved.\n\n", "© 2020 A. Person\n", "Copyright The Project Authors\n\n", "(c) 2020 me\n"]
+    cases = [(name, heads[w % len(heads)] + wrapped(text, w)) for name, text in texts for w in range(50, 101)]
+    got = {r.doc_id: r.license for r in licenses.scan(make([(i, t, None) for i, (_, t) in enumerate(cases)]), licenses.known_licenses(spark)).where("scope = 'text'").collect()}
+    assert got == {i: name for i, (name, _) in enumerate(cases)}
+
+
 # 7 substring dedup
 
 
