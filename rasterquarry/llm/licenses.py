@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known texts by name: full short licenses and the notices by which others are declared. A caller may pass more.
+#: Known texts by name: full short licenses and the notices by which others are declared. The registered query adds
+#: full_texts(); the SQL has these alone, which are all that the test tables hold. A caller may pass more.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -31,6 +35,18 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+#: Titles that a text has or has not above it; those of the others are in their files.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD License", "The BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Where the terms end in texts that have an appendix on how to apply them.
+_END = "END OF TERMS AND CONDITIONS"
 #: Spellings that count as one, after case and punctuation are gone; longer ones first where they overlap.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("https", "http"))
 #: Words that go on after "copyright" in running text, which a line may begin with wherever it is wrapped.
@@ -56,9 +72,26 @@ def digests(known: DataFrame) -> DataFrame:
     return form.select(F.sha2(F.col("form").cast("binary"), 256).alias("digest"), F.length("form").alias("letters"), "license").distinct()
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the whole licenses of license_texts and above, with and without titles, list numbers and appendix."""
+    out = []
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    for name, text in [("MIT", _MIT), ("ISC", _ISC), ("0BSD", _ZERO), *((f.stem, f.read_text("utf-8")) for f in files)]:
+        forms = [text]
+        if _END in text:
+            terms = text[: text.index(_END)]
+            forms += [terms, terms + _END]
+        if name in TITLES:
+            forms += [re.sub(r"(?m)^\d\. ", "* ", text)]
+        out += [(name, head + form) for form in forms for head in ("", *(f"{t}\n\n" for t in TITLES.get(name, ())))]
+    return out
+
+
 def known_licenses(spark) -> DataFrame:
-    rows = ", ".join(f"(:n{i}, :t{i})" for i in range(len(KNOWN)))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, text)", args={f"{k}{i}": x for i, pair in enumerate(KNOWN) for k, x in zip("nt", pair)})
+    """(license, text): KNOWN and full_texts()."""
+    known = list(dict.fromkeys([*KNOWN, *full_texts()]))
+    rows = ", ".join(f"(:n{i}, :t{i})" for i in range(len(known)))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, text)", args={f"{k}{i}": x for i, pair in enumerate(known) for k, x in zip("nt", pair)})
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -84,7 +117,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same as DuckDB SQL over documents, but for lines in running text that begin with "copyright" (see _SQL_NOTICE)."""
+    """The same as DuckDB SQL over documents, but for full_texts() and lines in running text that begin with "copyright" (see _SQL_NOTICE)."""
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 

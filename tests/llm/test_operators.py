@@ -3,6 +3,7 @@ import hashlib
 import random
 import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -286,6 +287,20 @@ def test_known_texts_are_found_at_every_width(spark, make):
     assert got == {i: name for i, (name, _) in enumerate(cases)}
 
 
+def test_whole_licenses_are_found(spark, make):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    cases = [(f.stem, text) for f in sorted(folder.glob("*.txt")) for text in (f.read_text(), "  " + f.read_text().replace("\n", "\n  "))]
+    short = [(n, (folder / f"{n}.txt").read_text()) for n in ("BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0")]
+    cases += [(n, wrapped(t, w)) for n, t in short for w in range(60, 90, 3)]
+    cases += [("MIT", "The MIT License\n\nCopyright (c) 2020 me\n\n" + licenses._MIT), ("ISC", "The ISC License\n\nCopyright (c) me\n\n" + wrapped(licenses._ISC, 72))]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, me\nAll rights reserved.\n\n" + wrapped(short[1][1].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), 79))]
+    apache = (folder / "Apache-2.0.txt").read_text()
+    cases += [("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 A. Person")), ("Apache-2.0", apache.split("   APPENDIX")[0])]
+    assert len({n for n, _ in cases}) >= 15
+    got = {r.doc_id: r.license for r in licenses.scan(make([(i, t, None) for i, (_, t) in enumerate(cases)]), licenses.known_licenses(spark)).where("scope = 'text'").collect()}
+    assert got == {i: name for i, (name, _) in enumerate(cases)}
+
+
 # 7 substring dedup
 
 
