@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -50,13 +50,15 @@ def _fingerprint_batches(batches):
     for batch in batches:
         for part in blocks(batch, most=1 << 20):  # a shingle takes some 100 bytes here
             out = _fingerprints(part.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            kept = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out.view(np.int64))], names=[*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the whole text's SimHash, a long with the fingerprint's bits. Null and blank texts have 0."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, more, fp): the whole text's SimHash, a long with the fingerprint's bits. Null and blank texts have 0."""
+    rows = docs.select("doc_id", *more, F.col("text").cast("string").alias("text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(_fingerprint_batches, f"{fields}, fp long")
 
 
 def _halves(fp: np.ndarray, half: np.ndarray | int) -> np.ndarray:
@@ -203,15 +205,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of docs, one row of each component of near_duplicates: the one with the least doc_id.
+    """The columns of docs, one row of each component of near_duplicates, with an id or without.
 
-    Of rows that share that doc_id, one stays; of a component without ids, none has a name and one row stays.
+    It is the row with the least doc_id, null last, then the least digest of the text, then the least hash of the other
+    columns, so that another run keeps the same rows. Different texts under one doc_id, or without any, are settled
+    each in its own component.
     """
     return own_names(docs, _keep_one)
 
 
 def _keep_one(docs: DataFrame) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # ids are integers, so no id is ""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(key.alias("__kept")).distinct()
-    rows = docs.withColumn("__kept", key).join(kept, "__kept", "left_semi").dropDuplicates(["__kept"])  # one shuffle of the texts for both
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+    own = cut(fingerprints(docs, digest.alias("__digest")))
+    nodes = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("best"))
+    roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    best = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
+
+    def key(doc_id: Column, digest: Column) -> Column:
+        return F.concat(digest, F.lit(" "), F.coalesce(doc_id.cast("string"), F.lit(""))).alias("__kept")
+
+    kept = best.select(key(F.col("best.doc_id"), F.col("best.__digest")))
+    rows = docs.withColumn("__kept", key(F.col("doc_id"), digest)).join(kept, "__kept", "left_semi")
+    others = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__kept").orderBy(others)))  # the join has dealt them out
+    return rows.where("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -233,6 +233,17 @@ def test_near_duplicates_edges(make, none, docs, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({corpus[r][0] for r in roots})
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(make):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    texts = [text() for _ in range(12)]
+    table = [(None, t, "a") for t in texts[:6]] + [(7, t, "a") for t in texts[6:9]] + [(8, texts[0], "b"), (None, texts[9], "b"), (None, texts[9], "c"), (None, texts[9], "b"), (7, texts[10], "c"), (9, texts[10], "a"), (None, None, "a"), (None, "", "b")]
+    got = [sorted(((r.doc_id, r.text, r.source) for r in simhash.keep_one(make(t).repartition(n)).collect()), key=str) for t, n in ((table, 1), (table[::-1], 5))]
+    assert got[0] == got[1]
+    assert sorted(r[1] or "" for r in got[0]) == sorted([*texts[:11], ""])
+    assert {r[1]: r[0] for r in got[0]}[texts[0]] == 8 and {r[1]: r[0] for r in got[0]}[texts[10]] == 7
+
+
 def test_components_of_a_long_chain(spark):
     from rasterquarry.llm.graph import connected_components
 
