@@ -49,10 +49,14 @@ formula("residual_add", lambda e: {"v": P.add_residual(e % 256, e % 701 - 350).c
 
 
 def blocks(spark, sf_dir, size: int):
-    """(blk, coeffs): each event a block whose coefficients follow from its id."""
+    """(blk, coeffs): every event is a coefficient, size * size of them by event_id a block; what a block lacks is 0."""
+    n = size * size
     e = F.col("event_id")
-    at = F.sequence(F.lit(0), F.lit(size * size - 1))
-    return events(spark, sf_dir).where(e % (size * size // 8) == 0).select(e.alias("blk"), F.transform(at, lambda i: ((e * 37 + i * 101) % 601 - 300).cast("int")).alias("coeffs"))
+    own = events(spark, sf_dir).select(F.floor(e / n).cast("long").alias("blk"), F.struct((e % n).cast("int").alias("at"), ((e * 37 + F.col("user_id") * 101) % 601 - 300).cast("int").alias("c")).alias("p"))
+    rows = own.groupBy("blk").agg(F.collect_list("p").alias("p"))
+    lacks = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.col("p.at"))
+    whole = F.concat("p", F.transform(lacks, lambda i: F.struct(i.alias("at"), F.lit(0).alias("c"))))
+    return rows.select("blk", F.array_sort(whole)["c"].alias("coeffs"))
 
 
 # The cosines and sines of the integer transforms, as in the operators.
@@ -68,7 +72,7 @@ def transform_sql(size: int, sine: bool = False) -> str:
     wide = "((s + 2048) >> 12)"
     last = f"(({wide} + 32768) % 65536 + 65536) % 65536 - 32768" if size == 4 else f"greatest(-32768, least(32767, {wide}))"
     return f"""WITH b AS {basis},
-c AS (SELECT event_id AS blk, i // {size} AS k, i % {size} AS x, (event_id * 37 + i * 101) % 601 - 300 AS c FROM events, range({size * size}) t(i) WHERE event_id % {size * size // 8} = 0),
+c AS (SELECT event_id // {size * size} AS blk, event_id % {size * size} // {size} AS k, event_id % {size} AS x, (event_id * 37 + user_id * 101) % 601 - 300 AS c FROM events),
 t AS (SELECT blk, n AS y, x, greatest(-32768, least(32767, (sum(m * c) + 64)::BIGINT >> 7)) AS v FROM c JOIN b USING (k) GROUP BY blk, n, x),
 o AS (SELECT blk, y, n AS x, sum(m * v)::BIGINT AS s FROM t JOIN b ON b.k = t.x GROUP BY blk, y, n)
 SELECT blk, string_agg({last}, ',' ORDER BY y, x) AS residual FROM o GROUP BY blk"""
