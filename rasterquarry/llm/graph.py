@@ -7,16 +7,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, spread_join
 
 #: Edges that a task contracts at once before it emits their stars.
 LOCAL_EDGES = 1 << 19
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return nodes, ends[: len(a)], ends[len(a) :]
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, root) with the components of the edges (a, b), root the least node."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = ends[: len(a)], ends[len(a) :]
+    nodes, u, v = _numbered(a, b)
     root = np.arange(len(nodes))
     while True:
         ru, rv = root[u], root[v]
@@ -29,6 +33,23 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off], nodes[root[off]]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the edges (a, b) that suffice for their components: fewer than nodes. A round hooks each root to a lesser one by one edge."""
+    nodes, u, v = _numbered(a, b)
+    root, picked = np.arange(len(nodes)), [np.zeros(0, np.int64)]
+    while len(live := np.flatnonzero(root[u] != root[v])):
+        ends = np.stack([root[u[live]], root[v[live]]])
+        low, high = ends.min(0), ends.max(0)
+        order = np.lexsort((low, high))
+        pick = order[np.append(True, high[order][1:] != high[order][:-1])]
+        root[high[pick]] = low[pick]
+        picked.append(live[pick])
+        while not np.array_equal(root, hop := root[root]):
+            root = hop
+    kept = np.concatenate(picked)
+    return a[kept], b[kept]
+
+
 def _contract(batches):
     a, b, n = [], [], 0
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -47,29 +68,35 @@ def _contract(batches):
         yield flush()
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
     """The stars of what each task holds. Sorted first, so that a task run again after a loss gives the same edges."""
     return edges.sortWithinPartitions("a", "b").mapInArrow(_contract, "a long, b long").distinct()
 
 
+def _content(edges: DataFrame) -> tuple:
+    """What tells one edge table from another: its count and the sum of its rows' hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge and isn't the least of its component.
 
     edges: columns a and b, long, without nulls; loops and repeats may occur, no edges give no rows. Every task first
-    contracts what it holds. A round then links each node to its least neighbour (sums before the shuffle, so a node
-    that has a third of all edges sends one row a task), links its other neighbours to that one, and moves every edge
-    to its end's own parent. A round's edges are written to the shared folder; when none changes, they are stars.
+    contracts what it holds, so a node leads at most one edge a task. A round then links each node to its least
+    neighbour, links its other neighbours to that one, and moves every edge to its end's own parent. Ends that are
+    common to a large part of all edges are joined apart (spread_join), so no task holds a component. A round's edges
+    are written to the shared folder; when none changes, they are stars.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = cut(_contracted(e))
+    e = cut(contracted(e))
     state = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.col("a").cast("decimal(38,0)"))).first()
+        now = _content(e)
         if now == state or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
         p = e.groupBy("a").agg(F.min("b").alias("m"))
         rest = e.join(p, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        small = p.select("a", F.col("m").alias("b")).unionByName(rest)
+        small = cut(p.select("a", F.col("m").alias("b")).unionByName(rest))
         up = p.select(F.col("a").alias("b"), "m")
-        e = cut(_contracted(small.join(up, "b", "left").select("a", F.coalesce("m", "b").alias("b"))))
+        e = cut(contracted(spread_join(small, up, "b").select("a", F.coalesce("m", "b").alias("b"))))

@@ -7,16 +7,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
-from .store import cut, own_names
+from .graph import connected_components, forest
+from .store import cut, own_names, spread_join
 from .textops import blocks
 
 SHINGLE_WORDS, HASH_SEED, MAX_BITS = 4, 42, 4
-#: A table bucket beyond so many fingerprints is linked by common midpoints rather than by comparing its members.
-PAIRED = 32
+#: A table bucket of up to so many fingerprints is verified pair by pair, a larger one along chains of common midpoints.
+#: A bucket of unrelated fingerprints reaches that size at some 3 * 10^10 of them; beyond, it is one of many near copies.
+PAIRED = 256
+#: Distinct fingerprints whose keys a task lists; a fingerprint has 66 keys.
+FINGERPRINTS_IN_TASK = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -82,10 +85,12 @@ def _probe_batches(batches):
 
 
 def _bucket_batches(batches):
-    """Of rows sorted by k: verified links (k null, a, b) inside small buckets, (k, a, null) for each member of a large one.
+    """Of rows sorted by k and fp: verified links (k null, a, b) inside small buckets, (k, a, null) for each member of a large one.
 
-    A pair meets in two buckets or, with an equal half, in 33; it is taken in the least bucket or the half's own.
-    A bucket is held until more than PAIRED rows of it came; from then on its rows pass through.
+    Every pair of a small bucket is compared over all 64 bits; of the links of the buckets at hand only a forest with
+    the same components goes out, so a bucket sends fewer rows than it has members. A pair meets in two buckets
+    or, with an equal half, in 33; it is taken in the least bucket or the half's own. A bucket is held until more than
+    PAIRED rows of it came; from then on its rows pass through.
     """
     schema = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     held_k, held_fp, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
@@ -94,7 +99,7 @@ def _bucket_batches(batches):
         ends = np.flatnonzero(np.append(k[1:] != k[:-1], True)) + 1
         sizes = np.diff(np.concatenate([[0], ends]))
         many = np.repeat(sizes > PAIRED, sizes) | (k == large if large is not None else False)
-        links = []
+        links = [(np.zeros(0, np.int64),) * 2]
         u, half = fp.view(np.uint64), (k >> 32) & 1
         i, d = np.flatnonzero(~many), 0
         while len(i):
@@ -108,11 +113,15 @@ def _bucket_batches(batches):
             mine = np.where(apart == 0, key == hx, other)
             good = i[mine & (np.bitwise_count(x ^ y) <= MAX_BITS)]
             links.append((fp[good], fp[good + d]))
-        rows = [np.flatnonzero(many)]
-        a = np.concatenate([fp[rows[0]], *(x[0] for x in links)])
-        b = np.concatenate([np.zeros(len(rows[0]), np.int64), *(x[1] for x in links)])
-        n = len(rows[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[rows[0]], np.zeros(len(a) - n, np.int64)]), mask=np.arange(len(a)) >= n), pa.array(a), pa.array(b, mask=np.arange(len(a)) < n)], schema=schema)
+        one, other = forest(*(np.concatenate(x) for x in zip(*links)))
+        row = np.flatnonzero(many)
+        n, total = len(row), len(row) + len(one)
+        linked = np.arange(total) >= n
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([k[row], np.zeros(len(one), np.int64)]), mask=linked),
+            pa.array(np.concatenate([fp[row], one])),
+            pa.array(np.concatenate([np.zeros(n, np.int64), other]), mask=~linked),
+        ], schema=schema)
 
     for batch in batches:
         k = np.concatenate([held_k, batch.column("k").to_numpy()])
@@ -153,13 +162,13 @@ def _midpoint_batches(batches):
 
 
 def _chain_batches(batches):
-    """Of rows sorted by z: each row's fingerprint linked to the one before it at the same z."""
+    """Of rows sorted by z and fp: a forest of the links of each row's fingerprint to the one before it at the same z, whole distances verified."""
     z0, f0 = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         z, f = np.concatenate([z0, batch.column("z").to_numpy()]), np.concatenate([f0, batch.column("fp").to_numpy()])
-        same = np.flatnonzero((z[1:] == z[:-1]) & (f[1:] != f[:-1]))
-        ab = np.unique(np.stack([f[same], f[same + 1]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ab[0])), pa.array(np.ascontiguousarray(ab[1]))], names=["a", "b"])
+        near = np.bitwise_count(f.view(np.uint64)[1:] ^ f.view(np.uint64)[:-1]) <= MAX_BITS
+        same = np.flatnonzero((z[1:] == z[:-1]) & (f[1:] != f[:-1]) & near)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(f[same], f[same + 1])], names=["a", "b"])
         z0, f0 = z[-1:], f[-1:]
 
 
@@ -171,19 +180,23 @@ def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints within four bits; nodes: distinct fp.
 
     If two fingerprints differ in four bits or fewer, one half differs in two or fewer, so the 33 keys within one bit
-    of that half meet. Every pair that meets is verified over all 64 bits, or links through a point proven to be
-    within two bits of both.
+    of that half meet. Every pair that meets in a bucket is verified over all 64 bits. In a bucket of more than PAIRED
+    fingerprints, where all pairs would grow with the square of a group of near copies, those that share a point within
+    two bits of both are compared in a row along that point: any two at it are within four bits, so none is missed.
     """
-    probes = _sorted_by(nodes.select("fp").mapInArrow(_probe_batches, "k long, fp long"), "k")
+    spark = nodes.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, -(-nodes.count() // FINGERPRINTS_IN_TASK))
+    probes = _sorted_by(nodes.select("fp").repartition(n, "fp").mapInArrow(_probe_batches, "k long, fp long"), "k", "fp")
     found = cut(probes.mapInArrow(_bucket_batches, "k long, a long, b long"))
     large = found.where("k IS NOT NULL").select("k", "a").distinct()
     half = F.when(F.shiftright("k", 32) == 0, F.shiftrightunsigned("a", 32)).otherwise(F.col("a").bitwiseAND(0xFFFFFFFF))
     key = F.col("k").bitwiseAND(0xFFFFFFFF)
     # a bucket whose members all have one half, and not its key, holds no pair of its own
-    live = large.groupBy("k").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).where((F.col("lo") != F.col("hi")) | (F.col("lo") == key)).select("k")
-    points = large.join(live, "k").select("k", "a").mapInArrow(_midpoint_batches, "z long, fp long")
+    live = large.groupBy("k").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).where((F.col("lo") != F.col("hi")) | (F.col("lo") == key)).select("k", F.lit(True).alias("live"))
+    own = spread_join(cut(large), live, "k").where("live").select("k", "a")
+    points = own.repartition(n, "a").mapInArrow(_midpoint_batches, "z long, fp long")
     chains = _sorted_by(points, "z", "fp").mapInArrow(_chain_batches, "a long, b long")
-    return found.where("k IS NULL").select("a", "b").unionByName(chains.distinct())
+    return found.where("k IS NULL").select("a", "b").unionByName(chains)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -192,16 +205,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts are lower-cased in A-Z, cut into words and hashed as shingles of four words (XXH64, seed 42); a fingerprint
     bit is set if it is in more than half of them. Fingerprints within four bits link; component_id is the least doc_id
     reachable. Null, empty and blank texts have the fingerprint 0 and link like any other. Repeated rows stay rows of
-    one component. A null doc_id stays null and names a component only if no other id is in it. Only distinct
-    fingerprints are searched: copies meet in the sums before the shuffle.
+    one component; texts of any length are read whole. A null doc_id stays null and names a component only if no other
+    id is in it. No rows give no rows. Only distinct fingerprints are searched: copies meet in the sums before the
+    shuffle, and neither a fingerprint nor a component that has a large part of all rows is dealt to one task.
     """
     own = cut(fingerprints(docs))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
-    return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    stars_of = connected_components(links(nodes))
+    roots = stars_of.select(F.col("root").alias("node"), "root").distinct()
+    members = cut(stars_of.unionByName(roots).withColumnRenamed("node", "fp").join(nodes, "fp"))
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = spread_join(members, least, "root").select("fp", "component_id", F.lit(True).alias("linked"))
+    label = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return spread_join(own, cut(label), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -217,7 +233,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def _keep_one(docs: DataFrame) -> DataFrame:
     digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
     own = cut(fingerprints(docs, digest.alias("__digest")))
-    nodes = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("best"))
+    nodes = cut(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("best")))
     roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     best = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
 
@@ -225,7 +241,8 @@ def _keep_one(docs: DataFrame) -> DataFrame:
         return F.concat(digest, F.lit(" "), F.coalesce(doc_id.cast("string"), F.lit(""))).alias("__kept")
 
     kept = best.select(key(F.col("best.doc_id"), F.col("best.__digest")))
-    rows = docs.withColumn("__kept", key(F.col("doc_id"), digest)).join(kept, "__kept", "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     others = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__kept").orderBy(others)))  # the join has dealt them out
-    return rows.where("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # rows of one text and id become one before they are dealt out, so no task gets a group of them
+    rows = docs.groupBy(key(F.col("doc_id"), digest)).agg(F.min_by(F.struct(*columns), others).alias("__row"))
+    return rows.join(kept, "__kept", "left_semi").select("__row.*")

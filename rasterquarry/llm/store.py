@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,9 +33,45 @@ def tabled(df: DataFrame) -> DataFrame:
     """df's rows as a Parquet table in the shared folder: Spark knows its size, and broadcasts it only below its own threshold."""
     path = f"{shared_folder(df.sparkSession)}/rasterquarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _files(df.sparkSession, path).deleteOnExit(_path(df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_tabled(table: DataFrame) -> None:
+    """Deletes the files of a tabled() table that nothing will read again. Those that aren't dropped go when the driver ends."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("rasterquarry-"):
+            _files(table.sparkSession, path).delete(_path(table.sparkSession, path), True)
+
+
+#: A key is heavy if it has more than one in so many of a table's rows, so that many keys at most are heavy in any table.
+HEAVY = 500
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left LEFT JOIN right on key, of which right has a row at most, for a left that may have any part of its rows on one key.
+
+    The rows of left's heavy keys, HEAVY keys at most, stay where they are and meet a broadcast of those keys' rows; only
+    the others are dealt out by key. left is read three times: it should be a cut. A null key has no partner.
+    """
+    total = left.count()
+    heavy = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * HEAVY > total).select(key)
+    there = heavy.withColumn("__heavy", F.lit(True))
+    marked = left.join(F.broadcast(there), key, "left")
+    few = right.join(F.broadcast(heavy), key, "left_semi")
+    own = marked.where("__heavy").drop("__heavy").join(F.broadcast(few), key, "left")
+    rest = marked.where("__heavy IS NULL").drop("__heavy").join(right, key, "left")
+    return own.unionByName(rest)
+
+
 def own_names(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """stage(docs), for a stage that keeps the columns and has working columns led by `__`: docs' own names of that kind step aside meanwhile."""
     if not any(c.startswith("__") for c in docs.columns):

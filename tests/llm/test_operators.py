@@ -208,7 +208,7 @@ def test_links_of_dense_and_sparse_buckets(spark, monkeypatch, paired):
         simhash.PAIRED = most
         yield from simhash._bucket_batches(batches)
 
-    found = simhash._sorted_by(nodes.mapInArrow(simhash._probe_batches, "k long, fp long"), "k").mapInArrow(small, "k long, a long, b long").collect()
+    found = simhash._sorted_by(nodes.mapInArrow(simhash._probe_batches, "k long, fp long"), "k", "fp").mapInArrow(small, "k long, a long, b long").collect()
     assert all((r.a ^ r.b).bit_count() <= 4 if r.k is None and (r.a ^ r.b) >= 0 else True for r in found if r.b is not None)
     from rasterquarry.llm.graph import connected_components
 
