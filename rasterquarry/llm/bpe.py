@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .textops import blocks, column
 
-#: Words encoded by one query, words that a worker remembers, and the bytes from which a word counts as long.
-QUERY_WORDS, REMEMBERED, LONG = 60_000, 600_000, 64
-#: Ids decoded by one query; a longer document is a query of its own.
+#: Bytes of words encoded by one query, though one word at least; bytes of words and ids that a worker remembers, and what an entry takes besides.
+QUERY_BYTES, REMEMBERED_BYTES, ENTRY_BYTES = 1 << 20, 96 << 20, 160
+#: Ids decoded by one query; a longer document takes several, whose bytes follow each other.
 QUERY_IDS = 400_000
 _LETTER, _DIGIT, _SPACE, _OTHER = range(4)
 
@@ -37,20 +37,15 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Cuts texts as the pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+` does.
-
-    Returns where each text's pieces start, each piece's code, and the distinct pieces as bytes. Pieces are runs of one
-    class; a space goes to the run after it; of a longer run of white space the last character stands alone or goes
-    with what follows; an apostrophe that no space leads takes its ending from the letters after it.
-    """
+def _cuts(texts: list[str]) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """The pieces of texts: where each text's start, all bytes, and where the pieces start and the last ends in them."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     joined = "".join(texts)
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     n = len(chars)
     if not n:
-        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32), pa.array([], pa.binary())
+        return np.zeros(len(texts) + 1, np.int64), b"", np.zeros(1, np.int64)
     kind = _kinds()[chars]
     start = np.ones(n + 1, bool)
     start[1:n] = kind[1:] != kind[:-1]
@@ -80,10 +75,24 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     begin = np.flatnonzero(start[:n])
     width = 1 + (chars >= 0x80).astype(np.int32) + (chars >= 0x800) + (chars >= 0x10000)
     byte_at = np.concatenate([[0], np.cumsum(width)])
-    offsets = np.append(byte_at[begin], byte_at[n]).astype(np.int32)
-    data = joined.encode()
-    coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).dictionary_encode()
-    return np.searchsorted(begin, bounds), coded.indices.to_numpy(), coded.dictionary
+    return np.searchsorted(begin, bounds), joined.encode(), np.append(byte_at[begin], byte_at[n])
+
+
+def _coded(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    flat = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Cuts texts as the pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+` does.
+
+    Returns where each text's pieces start, each piece's code, and the distinct pieces as bytes. Pieces are runs of one
+    class; a space goes to the run after it; of a longer run of white space the last character stands alone or goes
+    with what follows; an apostrophe that no space leads takes its ending from the letters after it.
+    """
+    starts, data, offsets = _cuts(texts)
+    return starts, *_coded(data, offsets)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -91,88 +100,124 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-#: One step of all words: their pairs by position join the merge table, and each word's leftmost pair of least rank,
-#: summed as rank and position in one number, is contracted. A word without a pair to merge stays as it was last.
-_LEFTMOST = """
-WITH RECURSIVE steps(w, toks) AS (
+#: One step of all words, which are strings of a character a token: their pairs by position join the merge table, and
+#: each word contracts its leftmost pair of least rank. The pair's other occurrences would come next, from the left,
+#: unless a contraction makes a pair of a lower rank, so they are contracted in the same step if the word has none of the
+#: pair's `now` before it and none of its `later` after it. A word stays as it is once no pair of it is in the table; the
+#: keyed recursion keeps a word's last state only.
+_CONTRACT = """
+WITH RECURSIVE steps(w, toks) USING KEY (w) AS (
   SELECT w, toks FROM words_in
-  UNION ALL
-  SELECT s.w, list_concat(list_concat(s.toks[:(b.code & 2147483647)::INT - 1], [(b.code >> 31)::INT]), s.toks[(b.code & 2147483647)::INT + 2:])
+  UNION
+  SELECT s.w, CASE WHEN m.once OR len(list_filter(m.now, lambda x: contains(s.toks, x))) > 0
+                     OR len(m.later) > 0 AND len(list_filter(m.later, lambda x: contains(replace(s.toks, m.pair, m.merged), x))) > 0
+                   THEN s.toks[:q.pos - 1] || m.merged || s.toks[q.pos + 2:] ELSE replace(s.toks, m.pair, m.merged) END
   FROM steps s JOIN (
-    SELECT w, min((m.t::BIGINT << 31) | pos) AS code
-    FROM (SELECT w, unnest(range(1, len(toks))) AS pos, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r FROM steps) p
-    JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY w) b ON b.w = s.w)
-SELECT w, arg_min(toks, len(toks)) AS ids FROM steps GROUP BY w ORDER BY w
-"""
-#: The same for long words, a row a token. A rank is safe if no pair with its merged token ranks lower, so its other
-#: pairs would come next, from the left, in any case: they are merged in the same step, of overlapping ones every second.
-_ALL_SAFE = """
-WITH RECURSIVE steps(w, pos, tok, done) AS (
-  SELECT w, pos, tok, false FROM (SELECT w, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM words_in)
-  UNION ALL
-  SELECT w, pos, CASE WHEN hit THEN t ELSE tok END, least_code IS NULL
-  FROM (
-    SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
+    SELECT p.w, arg_min({'i': m.i, 'pos': pos}, (m.t::BIGINT << 31) | pos) AS q
     FROM (
-      SELECT w, pos, tok, t, least_code, coalesce(same AND (((t::BIGINT << 31) | pos) = least_code OR safe AND nth % 2 = 1), false) AS hit
-      FROM (
-        SELECT *, row_number() OVER (PARTITION BY w, same, idx - k ORDER BY pos) AS nth
-        FROM (
-          SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS idx, row_number() OVER (PARTITION BY w, same ORDER BY pos) AS k
-          FROM (
-            SELECT *, coalesce(t = least_code >> 31, false) AS same
-            FROM (
-              SELECT a.*, m.t, m.safe, min((m.t::BIGINT << 31) | a.pos) OVER (PARTITION BY w) AS least_code
-              FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM steps WHERE NOT done) a
-              LEFT JOIN merges m ON m.l = a.tok AND m.r = a.nxt)))))
-    )
-  WHERE NOT gone)
-SELECT w, list(tok ORDER BY pos) AS ids FROM steps WHERE done GROUP BY w ORDER BY w
+      SELECT w, pos, l || r AS pair
+      FROM (SELECT w, unnest(range(1, len(c))) AS pos, unnest(c[:-2]) AS l, unnest(c[2:]) AS r FROM (SELECT w, string_split(toks, '') AS c FROM steps))) p
+    JOIN merges m ON m.pair = p.pair GROUP BY p.w) b ON s.w = b.w
+  JOIN merges m ON m.i = q.i)
+SELECT toks FROM steps ORDER BY w
 """
 _DECODE = "SELECT d, string_agg(v.piece, '' ORDER BY pos) AS back FROM ids_in JOIN vocabulary v ON v.id = ids_in.id GROUP BY d ORDER BY d"
 
 
+def _char(token: int) -> str:
+    """A token's character: no NUL, no surrogate."""
+    return chr(token + 1 if token + 1 < 0xD800 else token + 0x801)
+
+
+def _tokens(words: str) -> np.ndarray:
+    chars = np.frombuffer(words.encode("utf-32-le"), "<u4")
+    return np.where(chars < 0xD800, chars - 1, chars - 0x801).astype("<u4")
+
+
+def _merge_table(ranks: dict[bytes, int]) -> pa.Table:
+    """(i, pair, t, merged, once, now, later): every pair of tokens whose bytes are a token, and when its occurrences don't go in one step.
+
+    once: another pair that makes t can overlap this one, so occurrences go one by one. now, later: what a word holds
+    if contracting one occurrence makes a pair that ranks lower than t, as it has the others before or after that.
+    """
+    found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    parts: dict[int, list[tuple[int, int]]] = {}
+    before: dict[int, list[str]] = {}
+    after: dict[int, list[str]] = {}
+    for l, r, t in found:
+        parts.setdefault(t, []).append((l, r))
+        if t < l:
+            after.setdefault(l, []).append(_char(r))
+        if t < r:
+            before.setdefault(r, []).append(_char(l))
+    overlap = {t for t, p in parts.items() if any(a[1] == b[0] for a in p for b in p if a != b)}
+    pair = [_char(l) + _char(r) for l, r, _ in found]
+    texts = pa.list_(pa.string())
+    return pa.table({
+        "i": np.arange(len(found), dtype=np.int32),
+        "pair": pair,
+        "t": pa.array([t for _, _, t in found], pa.int32()),
+        "merged": [_char(t) for _, _, t in found],
+        "once": [t in overlap for _, _, t in found],
+        "now": pa.array([[p + y for y in after.get(t, ())] for p, (_, _, t) in zip(pair, found)], texts),
+        "later": pa.array([[x + _char(t) for x in before.get(t, ())] + [_char(t) + y for y in after.get(t, ())] for _, _, t in found], texts),
+    })
+
+
 class Coder:
-    """A worker's DuckDB with the merge table (l, r, t, safe) and the vocabulary (id, piece), and the words it has encoded."""
+    """A worker's DuckDB with the merge table and the vocabulary (id, piece), and the words it has encoded."""
 
     def __init__(self, path: str):
         ranks = read_ranks(path)
-        self.bytes_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        l, r, t = np.array(found, np.int32).reshape(-1, 3).T
-        unsafe = np.union1d(l[t < l], r[t < r])
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        merges = pa.table({"l": l, "r": r, "t": t, "safe": ~np.isin(t, unsafe)})
+        self.bytes_char = np.array([ord(_char(ranks[bytes([b])])) for b in range(256)], "<u4")
+        #: Byte pairs that some token holds: no merge ever crosses any other.
+        self.joined = np.zeros(1 << 16, bool)
+        for token in ranks:
+            for a, b in zip(token, token[1:]):
+                self.joined[a << 8 | b] = True
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         # a byte is a character of the same number, so that strings carry any bytes
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
+        for name, rows in (("merges", _merge_table(ranks)), ("vocabulary", vocabulary)):
             self.db.register("rows_in", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
             self.db.unregister("rows_in")
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def _query(self, sql: str, words: list[bytes]) -> None:
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(self.bytes_id[np.frombuffer(b"".join(words), np.uint8)]))
-        self.db.register("words_in", pa.table({"w": np.arange(len(words), dtype=np.int32), "toks": tokens}))
-        lists = self.db.sql(sql).to_arrow_table()["ids"].combine_chunks()
+    def _query(self, words: list[bytes]) -> None:
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).tolist()
+        chars = self.bytes_char[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        self.db.register("words_in", pa.table({"w": np.arange(len(words), dtype=np.int32), "toks": [chars[a:b] for a, b in zip(at, at[1:])]}))
+        found = self.db.sql(_CONTRACT).to_arrow_table()["toks"].to_pylist()
         self.db.unregister("words_in")
-        flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), (4 * np.cumsum(lists.value_lengths().to_numpy())).tolist()
+        flat, ends = _tokens("".join(found)).tobytes(), (4 * np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))).tolist()
         self.known.update(zip(words, (flat[a:b] for a, b in zip([0, *ends], ends))))
+        self.held += at[-1] + len(flat) + ENTRY_BYTES * len(words)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Each distinct word's ids as little-endian 32-bit integers."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self.known.clear()
+            self.held = 0
         new = [w for w in words if w not in self.known]
-        for sql, part in ((_LEFTMOST, [w for w in new if len(w) <= LONG]), (_ALL_SAFE, [w for w in new if len(w) > LONG])):
-            for i in range(0, len(part), QUERY_WORDS):
-                self._query(sql, part[i : i + QUERY_WORDS])
+        part = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // QUERY_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(new)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                self._query(new[a:b])
         return [self.known[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each whole text."""
-        starts, codes, distinct = pieces(texts)
+        """The ids of each whole text: its pieces, cut further where no token spans two bytes, each by itself."""
+        starts, data, offsets = _cuts(texts)
+        raw = np.frombuffer(data, np.uint8)
+        start = np.zeros(len(raw) + 1, bool)
+        start[1:-1] = ~self.joined[raw[:-1].astype(np.uint16) << 8 | raw[1:]]
+        start[offsets] = True
+        finer = np.flatnonzero(start)
+        starts = np.searchsorted(finer, offsets[starts])
+        codes, distinct = _coded(data, finer)
         own = self.encode_words(distinct.to_pylist())
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         flat = np.frombuffer(b"".join(own), "<u4")
@@ -185,22 +230,17 @@ class Coder:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids: its pieces in order of position."""
-        out: list[bytes] = []
-        i = 0
-        while i < len(ids):
-            j, n = i, 0
-            while j < len(ids) and (j == i or n + len(ids[j]) <= QUERY_IDS):
-                n += len(ids[j])
-                j += 1
-            lengths = np.fromiter(map(len, ids[i:j]), np.int64, j - i)
-            part = [b""] * (j - i)
-            self.db.register("ids_in", pa.table({"d": np.repeat(np.arange(j - i, dtype=np.int32), lengths), "pos": np.arange(n, dtype=np.int32), "id": np.concatenate(ids[i:j]).astype(np.int32)}))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        out = [b""] * len(ids)
+        for at in range(0, len(flat), QUERY_IDS):
+            part = slice(at, at + QUERY_IDS)
+            self.db.register("ids_in", pa.table({"d": owner[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
             found = self.db.sql(_DECODE).to_arrow_table()
             self.db.unregister("ids_in")
             for d, back in zip(found["d"].to_pylist(), found["back"].to_pylist()):
-                part[d] = back.encode("latin-1")
-            out += part
-            i = j
+                out[d] += back.encode("latin-1")
         return out
 
 
@@ -222,7 +262,12 @@ def _encode_batches(batches, path):
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<long>) for every row of docs: the whole text's tokens by the ranks of a tiktoken file. Null texts are empty and have none."""
+    """(doc_id, ids array<long>) for every row of docs: the whole text's tokens by the ranks of a tiktoken file.
+
+    Null and empty texts have none. Repeated rows and ids are encoded each; a null doc_id stays null. A text of any
+    length is encoded whole, and a word of any length by the same steps. Equal ranks go from the left. No rows give no
+    rows; columns beside doc_id and text aren't read.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(partial(_encode_batches, path=path), f"doc_id {kind}, ids array<bigint>")
@@ -260,7 +305,11 @@ def _round_trip_batches(batches, path, with_ids):
 
 
 def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, and ids on demand; encode and decode in one pass over the texts."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, and ids on demand; encode and decode in one pass over the texts.
+
+    Null and empty texts have no tokens and decode to nothing. Repeated rows and ids stay rows, a null doc_id stays
+    null, texts and words of any length are taken whole, and no rows give no rows. Other columns aren't read.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids

@@ -168,17 +168,29 @@ def test_pieces_are_those_of_the_pattern(texts):
 
 @given(st.lists(st.text("ab -=\n0é", min_size=65, max_size=200) | st.text(min_size=1, max_size=30), min_size=1, max_size=4))
 @settings(max_examples=25, deadline=None)
-def test_both_queries_merge_as_the_library_does(coder, library, texts):
+def test_words_merge_as_the_library_does(coder, library, texts):
     coder.known.clear()
     for text, ids in zip(texts, coder.encode(texts)):
         assert ids.tolist() == library.encode_ordinary(text)
     for text in texts:
         word = text.replace(" ", "").encode()[:150]
-        if word:
+        if word:  # uncut
             coder.known.clear()
-            for sql in (bpe._LEFTMOST, bpe._ALL_SAFE):
-                coder._query(sql, [word])
-                assert np.frombuffer(coder.known[word], "<u4").tolist() == library._encode_single_piece(word)
+            coder._query([word])
+            assert np.frombuffer(coder.known[word], "<u4").tolist() == library._encode_single_piece(word)
+
+
+@pytest.mark.parametrize("letters, n", [("abcdefghijklmnopqrstuvwxyz", 100_000), ("etaoinsr", 8_000), ("ACGT", 20_000), ("x", 100_001), ("\n ", 3_000), ("aA", 5_000)])
+def test_long_words(coder, library, letters, n):
+    rng = random.Random(n)
+    word = "".join(rng.choice(letters) for _ in range(n))
+    assert coder.encode([word])[0].tolist() == library.encode_ordinary(word)
+
+
+def test_long_documents_decode_in_parts(coder, monkeypatch):
+    monkeypatch.setattr(bpe, "QUERY_IDS", 7)
+    ids = coder.encode(["", "one two three four five six seven eight nine ten", "x", "é😀" * 9])
+    assert coder.decode(ids) == [t.encode() for t in ("", "one two three four five six seven eight nine ten", "x", "é😀" * 9)]
 
 
 # 4 SimHash near-dedup
