@@ -11,16 +11,17 @@ from .store import own_names
 from .textops import blocks, column, words
 
 #: A run is the shortest one from a sentence on that has so many sentences and so many words.
-RUN_SENTENCES, RUN_WORDS = 3, 12
+RUN_SENTENCES, RUN_WORDS = 3, 24
 #: Where so many words hold fewer whole sentences than a run has, they are a run too. It starts at a sentence, or at a
 #: word whose hash is less than both neighbours', so that a passage gives the same runs whatever stands around it.
-LONG_WORDS = 20
-#: A sentence ends with a word that ends so, or at a line's end. Clauses count as sentences: a passage pasted into
-#: another sentence shares its clauses whole, but neither its first nor its last sentence.
-ENDINGS = b".!?,;:"
+LONG_WORDS = 24
+#: A sentence ends with a word that ends so, or at a line's end.
+ENDINGS = b".!?"
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _NO_ID = -(1 << 63)
+#: What tells documents apart: the id, and the text's hash, as ids may be null or repeated.
+_KEY = ("id", "sub")
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -89,53 +90,70 @@ class Runs:
         self.hash = (h * np.uint64(0xD6E8FEB86659FD93) + (b - a).astype(np.uint64)).view(np.int64)
 
 
+def _documents(part: pa.RecordBatch, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return part.column("id").to_numpy()[text], part.column("sub").to_numpy()[text]
+
+
+def _differs(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
 def _run_batches(batches):
-    """(h, doc_id, known): each run's first document of a block; known, if an earlier document of the block has the run."""
+    """(h, id, sub): each run's documents in a block, each once; sub's lowest bit tells if an earlier document of the block has the run.
+
+    Rows go out in the order of the texts, where ids repeat, which packs them well.
+    """
     for batch in batches:
         for part in blocks(batch):
             runs = Runs(column(part))
-            ids = part.column("id").to_numpy()[runs.text]
-            order = np.lexsort((ids, runs.hash))
-            h, ids = runs.hash[order], ids[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
-            h, ids = h[fresh], ids[fresh]
-            lead = np.ones(len(h), bool)
-            lead[1:] = h[1:] != h[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(~lead)], names=["h", "id", "known"])
+            ids, subs = _documents(part, runs.text)
+            order = np.lexsort((subs, ids, runs.hash))
+            order = order[_differs(runs.hash[order], ids[order], subs[order])]
+            known = np.zeros(len(ids), np.int64)
+            known[order] = ~_differs(runs.hash[order])
+            at = np.sort(order)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.hash[at]), pa.array(ids[at]), pa.array(subs[at] | known[at])], names=["h", "id", "sub"])
 
 
 def _later_batches(batches):
-    """Of rows sorted by known, h, id: those that are known to be later, and of others those after the run's least id."""
-    h0, id0 = None, None
+    """Of rows sorted by sub's lowest bit, h, id, sub: those that are known to be later, and of others those after the run's least document."""
+    before = None  # h, id and sub of the run at hand
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, ids = batch.column("h").to_numpy(), batch.column("id").to_numpy()
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        lead = np.ones(len(h), bool)
-        lead[1:] = (h[1:] != h[:-1]) | (known[1:] != known[:-1])
-        if not known[0] and h0 is not None and h[0] == h0:
+        h, ids, subs = (batch.column(c).to_numpy() for c in ("h", "id", "sub"))
+        known = (subs & 1).astype(bool)
+        lead = _differs(h, known)
+        if not known[0] and before is not None and h[0] == before[0]:
             lead[0] = False
         at = np.maximum.accumulate(np.where(lead, np.arange(len(h)), -1))
-        least = np.where(at >= 0, ids[np.maximum(at, 0)], id0 if id0 is not None else 0)
-        later = known | (ids > least)
+        least = [np.where(at >= 0, c[np.maximum(at, 0)], x) for c, x in zip((ids, subs), before[1:] if before else (0, 0))]
+        later = known | (ids > least[0]) | (ids == least[0]) & (subs > least[1])
         if not known[-1]:
-            h0, id0 = h[-1], least[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(h[later])], names=["id", "h"])
+            before = h[-1], least[0][-1], least[1][-1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in (ids, subs & ~1, h)], names=["id", "sub", "h"])
+
+
+def _keyed(docs: DataFrame) -> list:
+    text = F.col("text").cast("string")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(-2).alias("sub"), text.alias("text")]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, hashes): the runs of each document that a document of a smaller id has too.
+    """(id, sub, hashes): the runs of each document that an earlier document has too, by id (null first), then the text's hash.
 
     Every block of texts first settles what it can alone, so a run that a third of all documents share sends one row
     a block to the task that holds it; that task reads its rows in order and holds none. What a block has settled is
-    dealt out by document.
+    dealt out by document. Texts without an id, or with one id, are documents of their own unless they are equal, so a
+    list has one document's runs.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    runs = rows.mapInArrow(_run_batches, "h long, id long, known boolean")
-    dealt = runs.repartition(F.when(F.col("known"), F.xxhash64("id", "h")).otherwise(F.col("h"))).sortWithinPartitions("known", "h", "id")
-    return dealt.mapInArrow(_later_batches, "id long, h long").groupBy("id").agg(F.collect_list("h").alias("hashes"))
+    runs = docs.select(*_keyed(docs)).mapInArrow(_run_batches, "h long, id long, sub long")
+    known = F.col("sub").bitwiseAND(1)
+    dealt = runs.repartition(F.when(known == 1, F.xxhash64("id", "sub", "h")).otherwise(F.col("h"))).sortWithinPartitions(known, "h", *_KEY)
+    return dealt.mapInArrow(_later_batches, "id long, sub long, h long").groupBy(*_KEY).agg(F.collect_list("h").alias("hashes"))
 
 
 def _keys(text: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -178,14 +196,15 @@ def _clean_batches(batches):
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs' rows and columns with the text that is left, and __n, __cut, __left: its sentences, how many of them lost words, and the words left.
 
-    A word goes if it is in a run that a document of a smaller id has, or that the same text has before. Runs are of
-    whole sentences or, where sentences are long, of LONG_WORDS words, which can take a part of a sentence. So the
-    first of equal passages stays, and what goes is left somewhere. Null texts become empty; they and
-    texts shorter than a run stay as they are. Rows with one id count as one document and don't rob each other; a null
-    id comes before all others. Words count, not the space between them.
+    A word goes if it is in a run that an earlier document has (see repeats), or that the same text has before. Runs are
+    of whole sentences or, where sentences are long, of LONG_WORDS words, which can take a part of a sentence. So the
+    first of equal passages stays, and what goes is left somewhere. Null texts become empty; they and texts shorter than
+    a run stay as they are; texts of any length are read whole. Rows of one id and text count as one document and don't
+    rob each other. A null id comes before all others. Words count, not the space between them. No rows give no rows.
     """
-    gone = repeats(docs).select(F.col("id").alias("__id"), F.col("hashes").alias("__hashes")).hint("shuffle_hash")
-    rows = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)) == F.col("__id"), "left")
+    gone = repeats(docs).select(F.col("id").alias("__id"), F.col("sub").alias("__sub"), F.col("hashes").alias("__hashes")).hint("shuffle_hash")
+    own = _keyed(docs)
+    rows = docs.join(gone, (own[0] == F.col("__id")) & (own[1] == F.col("__sub")), "left")
     none = F.array().cast("array<bigint>")
     rows = rows.select(*(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce("__hashes", none).alias("__hashes"))
     fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
@@ -193,12 +212,15 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_sentences, n_removed) for every row of docs; see cleaned()."""
+    """(doc_id, text, n_sentences, n_removed) for every row of docs; other columns aren't read. See cleaned()."""
     return cleaned(docs.select("doc_id", "text")).select("doc_id", "text", F.col("__n").alias("n_sentences"), F.col("__cut").alias("n_removed"))
 
 
 def keep_new(docs: DataFrame) -> DataFrame:
-    """docs' columns with the text that is left (n_chars its length); a document of which no word is left goes."""
+    """docs' columns with the text that is left (n_chars its length); a document of which no word is left goes.
+
+    Nulls, empty and very long texts, ties, repeated rows and an empty table: see cleaned(). A text without words stays.
+    """
     return own_names(docs, _keep_new)
 
 

@@ -91,45 +91,65 @@ def sentences(text):
         start = m.start() if start is None else start
         words.append(m[0])
         gap = text[m.end() : found[i + 1].start()] if i + 1 < len(found) else "\n"
-        if m[0][-1] in ".!?,;:" or "\n" in gap:
+        if m[0][-1] in ".!?" or "\n" in gap:
             out.append((words, start))
             words, start = [], None
     return out
 
 
-def runs(text):
-    """(first, end, words) of each run."""
+def runs(text, sentence_count=3, least=24, long=24):
+    """(first, end, words) of each run, first and end numbers of words."""
     s = sentences(text)
+    words = [w for x in s for w in x[0]]
+    begin, at = [], 0
+    for x in s:
+        begin.append(at)
+        at += len(x[0])
+    ends = [b + len(x[0]) for b, x in zip(begin, s)]
     for i in range(len(s)):
-        words, j = [], i
-        while j < len(s) and (j - i < 3 or len(words) < 12):
-            words = words + s[j][0]
-            j += 1
-        if j - i >= 3 and len(words) >= 12:
-            yield i, j, tuple(words)
+        for j in range(i + sentence_count - 1, len(s)):
+            if ends[j] - begin[i] >= least:
+                yield begin[i], ends[j], tuple(words[begin[i] : ends[j]])
+                break
+    h = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    for i in range(len(words) - long + 1):
+        if i in begin or 0 < i < len(words) - 1 and h[i] < h[i - 1] and h[i] < h[i + 1]:
+            whole = sum(i <= a and b <= i + long for a, b in zip(begin, ends))
+            if whole < sentence_count:
+                yield i, i + long, tuple(words[i : i + long])
 
 
 def substrings(rows):
-    """[(id, text)] -> [(text left, sentences, removed)] in the rows' order."""
-    owner = {}
-    for k, text in rows:
-        for _, _, words in runs(text):
+    """[(id, text)] -> [(text left, sentences, sentences that lost words)] in the rows' order; a null id comes first, then equal ids by the texts' hashes."""
+    owner, keys = {}, [(-(1 << 63) if k is None else k, text_hash(text)) for k, text in rows]
+    for k, (_, text) in zip(keys, rows):
+        for *_, words in runs(text):
             owner[words] = min(owner.get(words, k), k)
     out = []
-    for k, text in rows:
+    for k, (_, text) in zip(keys, rows):
         text, seen, gone = text or "", set(), set()
-        for i, j, words in runs(text):
+        for i, j, words in sorted(runs(text)):
             if owner[words] < k or words in seen:
                 gone.update(range(i, j))
             seen.add(words)
-        s = sentences(text)
-        ends = [x[1] for x in s[1:]] + [len(text)]
-        left = text[: s[0][1]] if s else text
-        left += "".join(text[s[i][1] : ends[i]] for i in range(len(s)) if i not in gone)
-        out.append((left, len(s), len(gone)))
+        found = list(WORD.finditer(text))
+        ends = [m.start() for m in found[1:]] + [len(text)]
+        left = text[: found[0].start()] if found else text
+        left += "".join(text[m.start() : e] for i, (m, e) in enumerate(zip(found, ends)) if i not in gone)
+        s, at, cut = sentences(text), 0, 0
+        for x in s:
+            cut += any(i in gone for i in range(at, at + len(x[0])))
+            at += len(x[0])
+        out.append((left, len(s), cut))
     return out
 
 
+def text_hash(text):
+    """XXH64 with seed 42 as a signed number without its lowest bit."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) & ~1
+
+
 def targets(sizes, weights=(5, 2, 1)):
     """Targets of sources (None last) from {source: size}, by repeated resharing."""
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)

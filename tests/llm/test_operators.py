@@ -336,13 +336,19 @@ def test_substring_dedup(docs, corpus, none, make):
     assert sorted(rows(substring_dedup.deduplicate(make(NULLS))), key=str) == [(5, "", 0, 0)] * 2 + [(6, "", 0, 0), (None, "", 0, 0), (None, "a b", 1, 0)]
     kept = substring_dedup.keep_new(docs)
     assert kept.dtypes == docs.dtypes
-    assert {r.doc_id: r.text for r in kept.collect()} == {k: w[0] for (k, _, _), w in zip(corpus, want) if not w[1] or w[2] < w[1]}
+    assert {r.doc_id: r.text for r in kept.collect()} == {k: w[0] for (k, _, _), w in zip(corpus, want) if not w[2] or brute.split(w[0])}
 
 
 def test_rows_with_one_id_keep_their_text(make):
-    text = "one two three four five. six seven eight nine ten. eleven twelve thirteen fourteen."
+    text = "one two three four five six seven eight nine. ten eleven twelve thirteen fourteen fifteen sixteen seventeen. eighteen nineteen twenty one two three four five."
     out = rows(substring_dedup.deduplicate(make([(1, text, None), (1, text, None), (2, text, None)])))
     assert sorted(r[3] for r in out) == [0, 0, 3]
+    # different texts without an id, or under one id, are documents of their own
+    table = [(i, f"{'x' * n} y. {text} {'z' * n}", None) for i in (None, 4) for n in range(1, 9)]
+    out = rows(substring_dedup.deduplicate(make(table)))
+    assert sum(r[3] == 0 for r in out) == 1
+    want = brute.substrings([(k, t) for k, t, _ in table])
+    assert sorted((r[0] or 0, r[1]) for r in out) == sorted((k or 0, w[0]) for (k, _, _), w in zip(table, want))
 
 
 def test_passages_of_long_sentences_go(make):

@@ -35,7 +35,7 @@ def test_pipeline_equals_its_plain_version(spark, small):
     rows = [r for r, v in zip(rows, verdict) if v[0]]
     rows = [rows[i] for i in sorted(set(brute.components([brute.simhash(r[1]) for r in rows])))]
     left = brute.substrings([(r[0], r[1]) for r in rows])
-    rows = [(r[0], t, r[3]) for r, (t, n, cut) in zip(rows, left) if not n or cut < n]
+    rows = [(r[0], t, r[3]) for r, (t, n, cut) in zip(rows, left) if not cut or brute.split(t)]
     taken = brute.mix([(k, s, len(brute.split(t))) for k, t, s in rows])
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BYTE_RANKS), special_tokens={})
     want = []
