@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .docstats import measure
+from .store import drop_tabled, tabled
 from .textops import Words, blocks, column, words
 
 #: Buckets of hashed words and word pairs: the model is two sums for each, whatever the corpus' size.
 BUCKETS = 1 << 16
-#: Pseudo-counts that each bucket's target share gets of the corpus' share, a bucket on average.
-PRIOR = 4.0
+#: Each bucket's target share is that of the trusted texts with so much of the corpus' share mixed in, at every size.
+PRIOR = 0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A document stays if its mean log-likelihood ratio, in nats a feature, is at least this.
-THRESHOLD = -0.14
+#: A document stays if its mean log-likelihood ratio, in nats a feature, reaches that of all but this part of the trusted
+#: texts, each scored without its own counts, as texts without a label are.
+LOST = 0.005
+#: Scores of trusted texts are counted in bins of 1 / BINS nats between -RANGE and RANGE.
+BINS, RANGE = 1000, 12
 
 
 def features(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,36 +35,72 @@ def features(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_batches(batches):
-    """One row a bucket and task: features of all texts, and of the trusted ones."""
-    total = np.zeros((2, BUCKETS), np.int64)
+    """One row a bucket and task: features of all texts."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for part in blocks(batch):
             w = words(column(part))
-            bucket, of = features(w, w.hashes())
-            trusted = part.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-            total[0] += np.bincount(bucket, minlength=BUCKETS)
-            total[1] += np.bincount(bucket[trusted[of]], minlength=BUCKETS)
-    there = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[0][there]), pa.array(total[1][there])], names=["bucket", "raw", "target"])
+            total += np.bincount(features(w, w.hashes())[0], minlength=BUCKETS)
+    there = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["k", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log-likelihood ratio of each bucket: trusted texts (label quality 1) against all of docs.
+def _sums(rows: DataFrame, batches, size: int, first: int = 0) -> np.ndarray:
+    """The counts n by key k, first <= k < first + size, that every task adds up by itself."""
+    out = np.zeros(size, np.int64)
+    for r in rows.mapInArrow(batches, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most size rows
+        out[r.k - first] = r.n
+    return out
+
+
+def _base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def _ratio(target: np.ndarray, total: np.ndarray | int, share: np.ndarray) -> np.ndarray:
+    return np.log((target / total + PRIOR * share) / (1 + PRIOR)) - np.log(share)
 
-    Counts cover every document. Each task sends a row a bucket; the driver gets BUCKETS rows of sums. Without trusted
-    texts every ratio is 0. A document with several labels is trusted if one of them is 1.
+
+def _held_out_batches(batches, target, share):
+    """One row a bin and task: trusted texts that pass the base rules, by their score under the model without their own counts."""
+    found = np.zeros(2 * RANGE * BINS, np.int64)
+    total = target.sum()
+    for batch in batches:
+        for part in blocks(batch):
+            w, hashes, out = measure(column(part))
+            bucket, of = features(w, hashes)
+            n = np.bincount(of, minlength=part.num_rows)
+            own, at, times = np.unique(of * BUCKETS + bucket, return_inverse=True, return_counts=True)
+            text, b = own // BUCKETS, own % BUCKETS
+            rest = total - n[text]
+            score = np.bincount(text, times * _ratio(target[b] - times, np.maximum(rest, 1), share[b]), minlength=part.num_rows) / np.maximum(n, 1)
+            good = ~_base_failed(out["n_words"], out["n_repeat_words"]) & (n < total)
+            found += np.bincount(np.clip(np.floor(score[good] * BINS).astype(np.int64) + RANGE * BINS, 0, len(found) - 1), minlength=len(found))
+    there = np.flatnonzero(found)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["k", "n"])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """The log-likelihood ratio of each bucket, trusted texts (label quality 1) against all of docs, and the threshold.
+
+    Counts cover every document, the trusted ones every document that has such a label; the threshold covers those of
+    them that the base rules pass. Each task sends a row a bucket or bin, and the driver gets their sums. Trusted texts
+    are found by a semi-join, which broadcasts the labelled ids only if Spark finds them below its own threshold, and
+    kept for the two passes over them. Without trusted texts every ratio and the threshold are 0, and without any that
+    can be scored apart, nothing is rejected by its score.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__good")).distinct().hint("shuffle_hash")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, F.col("doc_id") == F.col("__good"), "left")
-    rows = rows.select("text", F.col("__good").isNotNull().alias("trusted"))
-    sums = rows.mapInArrow(_count_batches, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in sums.collect():  # at most BUCKETS rows
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("__good"))
+    trusted = tabled(rows.join(good, F.col("doc_id") == F.col("__good"), "left_semi").select("text"))
+    raw, target = (_sums(x, _count_batches, BUCKETS) for x in (rows.select("text"), trusted))
     if not target.sum():
-        return np.zeros(BUCKETS)
+        drop_tabled(trusted)
+        return np.zeros(BUCKETS), 0.0
     share = (raw + 1) / (raw.sum() + BUCKETS)
-    return np.log((target + PRIOR * BUCKETS * share) / (target.sum() + PRIOR * BUCKETS)) - np.log(share)
+    scored = _sums(trusted, partial(_held_out_batches, target=target, share=share), 2 * RANGE * BINS)
+    drop_tabled(trusted)
+    below = np.searchsorted(np.cumsum(scored), int(LOST * scored.sum()), side="right")
+    return _ratio(target, target.sum(), share), (below / BINS - RANGE if scored.any() else -np.inf)
 
 
 def judge(texts: pa.Array, ratio: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
@@ -68,8 +108,7 @@ def judge(texts: pa.Array, ratio: np.ndarray, threshold: float) -> dict[str, np.
     bucket, of = features(w, hashes)
     n = np.bincount(of, minlength=len(texts))
     out["score"] = np.bincount(of, ratio[bucket], minlength=len(texts)) / np.maximum(n, 1)
-    n_words = out["n_words"]
-    out["base_failed"] = (n_words < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n_words)
+    out["base_failed"] = _base_failed(out["n_words"], out["n_repeat_words"])
     out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
     return out
 
@@ -90,18 +129,21 @@ def _keep_batches(batches, ratio, threshold):
             yield part.filter(pa.array(judge(column(part), ratio, threshold)["kept"]))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: doc_id, the base counts, base_failed, kept and score (nats a feature).
 
-    Null and empty texts have no words, so they fail. Repeated rows are judged alike, each on its own. Without trusted
-    labels the score is 0 and the base rules decide alone. An empty table gives no rows.
+    Null and empty texts have no words, so they fail. Texts of any length are read whole. Repeated rows and texts that
+    score alike are judged alike, each on its own; a score at the threshold passes. Without trusted labels the score is
+    0 and the base rules decide alone. An empty table gives no rows; other columns aren't read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_judge_batches, ratio=fit(docs, labels), threshold=threshold), schema)
+    ratio, threshold = fit(docs, labels)
+    return rows.mapInArrow(partial(_judge_batches, ratio=ratio, threshold=threshold), schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns."""
-    return docs.mapInArrow(partial(_keep_batches, ratio=fit(docs, labels), threshold=threshold), docs.schema)
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns, whatever their names; see there for nulls, empty texts, repeats and empty tables."""
+    ratio, threshold = fit(docs, labels)
+    return docs.mapInArrow(partial(_keep_batches, ratio=ratio, threshold=threshold), docs.schema)

@@ -38,6 +38,10 @@ def test_fingerprints(docs, corpus):
         assert (r.fingerprint, r.edited_fingerprint) == (ctph.fingerprint(text), ctph.fingerprint(new))
         assert r.near_edited == ctph.likeness(r.fingerprint, r.edited_fingerprint)
         assert r.near_next == ctph.likeness(r.fingerprint, ctph.fingerprint(after))
+        if len(text) + len(after) < 6000:  # plain versions are slow
+            assert (r.fingerprint, r.edited_fingerprint) == (brute.fingerprint(text), brute.fingerprint(new))
+            assert r.near_edited == pytest.approx(brute.likeness(r.fingerprint, r.edited_fingerprint))
+            assert r.near_next == pytest.approx(brute.likeness(r.fingerprint, brute.fingerprint(after)))
     long = [r for r in got.values() if 300 < r.n_chars]
     assert np.mean([r.near_edited for r in long]) > 0.4
 
@@ -375,7 +379,7 @@ def test_quality_rules(spark, docs, corpus, none, make):
     labels = spark.createDataFrame([(k, int(i % 2), 0) for i, (k, _, _) in enumerate(corpus[:50])] + [(corpus[0][0], 1, 0), (None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
     texts = [t or "" for _, t, _ in corpus]
-    want = brute.quality(texts, [k in good for k, _, _ in corpus], quality_rules.THRESHOLD)
+    want = brute.quality(texts, [k in good for k, _, _ in corpus])
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
     for (k, t, _), (kept, score) in zip(corpus, want):
         r = got[k]
@@ -422,3 +426,23 @@ def test_isotonic_is_the_best_monotone_fit():
     n[[10, 20, 30, 40]], hits[[10, 20, 30, 40]] = [1, 2, 1, 4], [1, 0, 1, 4]
     knots, values = quality_classifier._isotonic(n, hits)
     assert values.tolist() == [pytest.approx(1 / 3), 1.0] and (np.diff(knots) > 0).all()
+
+
+def test_classifier_equals_its_plain_version(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality_classifier, "SUM_ROWS", 70)  # several tasks' sums
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(1, 9))) for _ in range(90)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", "!!", "\n"]) for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    texts += texts[:30]
+    truth = [int(t.count("!") < t.count(".") or rng.random() < 0.1) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, q) for i, q in enumerate(truth) if i % 3], "doc_id long, quality int")
+    x = np.concatenate([quality_classifier.statistics(pa.array([t])) for t in texts]).astype(np.float32).astype(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))])
+    train = [i for i in range(len(texts)) if i % 3 and fold[i]]
+    want = brute.classifier(x[train], np.array(truth, float)[train], fold[train], x)
+    got = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-6)
+    assert len(set(got.values())) > 10

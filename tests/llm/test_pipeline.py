@@ -7,7 +7,7 @@ import tiktoken
 import public_tokenizers
 
 import corpus_pipeline
-from rasterquarry.llm import bpe, quality_rules
+from rasterquarry.llm import bpe
 from rasterquarry.llm.queries import BYTE_RANKS, ORACLES, QUERIES
 
 from . import brute
@@ -31,7 +31,7 @@ def small(spark, tmp_path_factory):
 
 def test_pipeline_equals_its_plain_version(spark, small):
     folder, rows = small
-    verdict = brute.quality([r[1] or "" for r in rows], [r[0] < 40 and r[0] % 2 == 1 for r in rows], quality_rules.THRESHOLD)
+    verdict = brute.quality([r[1] or "" for r in rows], [r[0] < 40 and r[0] % 2 == 1 for r in rows])
     rows = [r for r, v in zip(rows, verdict) if v[0]]
     rows = [rows[i] for i in sorted(set(brute.components([brute.simhash(r[1]) for r in rows])))]
     left = brute.substrings([(r[0], r[1]) for r in rows])
