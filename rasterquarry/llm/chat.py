@@ -36,13 +36,12 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """A line: a backslash becomes `\\0`, a line break `\\n`, so each backslash tells by the character after it what it was."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\0")), F.lit("\n"), F.lit("\\n")))
 
 
 def _unescape_role(role: Column) -> Column:
-    """Undoes _escape_role: `\\n` is a line break unless its backslash is itself escaped."""
-    marked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\0"), F.lit("\\"))
 
 
 def format_chats(rows: DataFrame, template: Template = CHAT) -> DataFrame:
@@ -51,7 +50,9 @@ def format_chats(rows: DataFrame, template: Template = CHAT) -> DataFrame:
     rows: conv_id, turn, role, text. Turns are ordered by turn, then role and text where turns tie, repeats kept; a
     null turn comes first, null roles and texts are empty. Each turn gives three segments: head, escaped text, end;
     only the text of a loss role has loss. valid is the state machine's verdict on the order of roles; conversations
-    that it rejects are formatted all the same. A null conv_id is a conversation of its own. No rows give no rows.
+    that it rejects are formatted all the same. Rows without a conv_id are one conversation, whose conv_id stays null.
+    Texts of any length are written whole; a conversation is one row, as large as its texts. No rows give no rows;
+    other columns aren't read.
     """
     turns = rows.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
@@ -72,7 +73,11 @@ def format_chats(rows: DataFrame, template: Template = CHAT) -> DataFrame:
 
 
 def read_back(chats: DataFrame, template: Template = CHAT) -> DataFrame:
-    """Adds turns (array<struct<role, text>>), parsed from the formatted string, and loss_text, all unescaped text under the mask, to format_chats' rows."""
+    """Adds turns (array<struct<role, text>>) and loss_text to format_chats' rows, both parsed from the formatted string.
+
+    loss_text is the unescaped text of the loss roles' turns in order. Empty texts and roles, control strings in them and
+    repeated turns come back as they were; a null role or text comes back empty. No rows give no rows.
+    """
     body = F.substr(F.col("formatted"), F.lit(1), F.length("formatted") - len(template.end))
     pieces = F.split(body, "".join("\\" + c if c in "|<>" else c for c in template.end.replace("\n", "\\n")) + "(?=" + template.start.replace("|", "\\|") + ")")
 
@@ -81,9 +86,9 @@ def read_back(chats: DataFrame, template: Template = CHAT) -> DataFrame:
         role = F.substring_index(inner, "\n", 1)
         return F.struct(_unescape_role(role).alias("role"), unescape(F.substr(inner, F.length(role) + 2)).alias("text"))
 
-    chats = chats.withColumn("pieces", pieces)
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return chats.select("*", F.transform("pieces", parse).alias("turns"), loss.alias("loss_text")).drop("pieces")
+    chats = chats.select("*", F.transform(pieces, parse).alias("turns"))
+    loss = F.filter("turns", lambda t: t["role"].isin(*template.loss_roles))
+    return chats.select("*", F.array_join(F.transform(loss, lambda t: t["text"]), "").alias("loss_text"))
 
 
 def probe(spark) -> DataFrame:
@@ -91,7 +96,7 @@ def probe(spark) -> DataFrame:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """op10's row for each conversation, read back from what format_chats wrote."""
+    """op10's row for each conversation, read back from what format_chats wrote; see format_chats for nulls, ties, repeats, long texts and empty tables."""
     read = read_back(format_chats(rows))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

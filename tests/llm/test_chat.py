@@ -51,5 +51,13 @@ def test_digests_and_their_sql(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_roles_with_any_characters_and_a_long_conversation(spark):
+    roles = ["\x00\x01", "\\", "\\n", "\\0", "\n", "\\\\n\n", "a\\0n<|<\\|", "assistant"]
+    rows = [(1, i, r, "t" * i) for i, r in enumerate(roles)] + [(2, i, ("user", "assistant")[i % 2], f"{i} <|im_end|>\n" * 3) for i in range(6000)]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(frame(spark, rows))).collect()}
+    assert [t.role for t in got[1].turns] == roles and got[1].loss_text == "t" * 7
+    assert [tuple(t) for t in got[2].turns] == [(r, x) for c, _, r, x in rows if c == 2] and got[2].valid
+
+
 def test_no_rows(spark):
     assert chat.digests(frame(spark, [])).collect() == []
