@@ -288,7 +288,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", ids).mapInArrow(partial(_decode_batches, path=path), f"doc_id {kind}, content binary")
 
 
-def _round_trip_batches(batches, path, with_ids):
+def _round_trip_batches(batches, path, with_ids, more):
     for batch in batches:
         for part in blocks(batch):
             ids = coder(path).encode(column(part).to_pylist())
@@ -301,16 +301,16 @@ def _round_trip_batches(batches, path, with_ids):
             }
             if with_ids:
                 out["ids"] = _lists(ids)
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | {c: part.column(c) for c in more})
 
 
-def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, and ids on demand; encode and decode in one pass over the texts.
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, on demand ids and `more` of docs' columns; encode and decode in one pass over the texts.
 
     Null and empty texts have no tokens and decode to nothing. Repeated rows and ids stay rows, a null doc_id stays
     null, texts and words of any length are taken whole, and no rows give no rows. Other columns aren't read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
-    return rows.mapInArrow(partial(_round_trip_batches, path=path, with_ids=with_ids), schema)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *more)
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"doc_id {kind['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids + "".join(f", {c} {kind[c]}" for c in more)
+    return rows.mapInArrow(partial(_round_trip_batches, path=path, with_ids=with_ids, more=more), schema)

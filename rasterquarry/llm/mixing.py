@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_E
     size counts words; sources by code point, null last, weigh `weights` in turn. The order within a source is that of
     md5(doc_id), so reruns agree. taken is size times the source's whole epochs, plus size, nothing or, at the cut
     itself, a part, so that each source's sum is its target rounded. Null and empty texts have size 0 and are taken 0
-    times. Rows with one doc_id stay rows and share a cut that falls on them. No rows give no rows.
+    times. Rows with one doc_id, repeated or not, stay rows and share a cut that falls on them. Texts of any length are
+    counted whole. No rows give no rows; other columns aren't read.
     """
     sized = cut(_sized(docs.select("doc_id", "source", "text")).drop("text", "source"))
     out = _taken(sized, _cuts(sized, weights, epochs))
@@ -98,8 +99,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_E
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken whole, and for a part its first words.
 
-    n_chars is that of the row's own text. The cuts come from a narrow table; texts aren't shuffled but joined to one
-    row a source.
+    The first words keep what stands before and between them. n_chars is that of the row's own text. The cuts come from
+    a narrow table; texts aren't shuffled but joined to one row a source. Null, empty and blank texts are never taken;
+    rows with one doc_id that a cut falls on share it, so each may give its first words; texts of any length are cut by
+    whole words. No rows give no rows.
     """
     return own_names(docs, lambda rows: _mixed_rows(rows, weights, epochs))
 
@@ -109,7 +112,9 @@ def _mixed_rows(docs: DataFrame, weights: tuple[int, ...], epochs: int) -> DataF
     rows = _taken(_sized(docs), cuts).where("__taken > 0")
     parts = F.expr("transform(sequence(0L, (__taken - 1) div __size), i -> least(__size, __taken - i * __size))")
     rows = rows.withColumn("__words", F.explode(parts))
-    cut_text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " "))
+    between = F.split("text", WORD)  # what stands before each word
+    first = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int"))
+    cut_text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.transform(first, lambda w, i: F.concat(F.get(between, i), w)), ""))
     rows = rows.withColumn("text", cut_text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -15,6 +15,11 @@ def split(text):
     return WORD.findall(text or "")
 
 
+def first_words(text, n):
+    """The text up to the end of its n-th word."""
+    return text[: [m.end() for m in WORD.finditer(text)][n - 1]]
+
+
 def simhash(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = split(low)
