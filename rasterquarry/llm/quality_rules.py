@@ -23,6 +23,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 LOST = 0.005
 #: Scores of trusted texts are counted in bins of 1 / BINS nats between -RANGE and RANGE.
 BINS, RANGE = 1000, 12
+#: Longs of the filter of labelled ids.
+FILTER_WORDS = 1 << 21
 
 
 def features(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +55,28 @@ def _sums(rows: DataFrame, batches, size: int, first: int = 0) -> np.ndarray:
     return out
 
 
+def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) whose id has the label quality 1.
+
+    A filter of a bit an id, at most FILTER_WORDS longs whatever the number of ids, is broadcast first, so that texts
+    that surely have no such label are never dealt out; the join then is exact. Beyond some 10^8 ids the filter
+    passes most rows, and no row less.
+    """
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__good"))
+    size = min(FILTER_WORDS, 1 << max(10, good.count().bit_length()))
+
+    def place(c: str):
+        h = F.xxhash64(F.col(c).cast("string"))
+        return F.shiftright(h, 6).bitwiseAND(size - 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+    word, bit = place("__good")
+    words = good.select(word.alias("__word"), bit.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    word, bit = place("doc_id")
+    some = rows.join(F.broadcast(words), word == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
+    # not a semi-join, which the optimizer would move below the filter
+    return some.join(good.distinct(), F.col("doc_id") == F.col("__good")).select(*rows.columns)
+
+
 def _base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
@@ -85,13 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
     Counts cover every document, the trusted ones every document that has such a label; the threshold covers those of
     them that the base rules pass. Each task sends a row a bucket or bin, and the driver gets their sums. Trusted texts
-    are found by a semi-join, which broadcasts the labelled ids only if Spark finds them below its own threshold, and
-    kept for the two passes over them. Without trusted texts every ratio and the threshold are 0, and without any that
+    are kept for the two passes over them. Without trusted texts every ratio and the threshold are 0, and without any that
     can be scored apart, nothing is rejected by its score.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__good"))
-    trusted = tabled(rows.join(good, F.col("doc_id") == F.col("__good"), "left_semi").select("text"))
+    trusted = tabled(_trusted(rows, labels).select("text"))
     raw, target = (_sums(x, _count_batches, BUCKETS) for x in (rows.select("text"), trusted))
     if not target.sum():
         drop_tabled(trusted)
