@@ -13,8 +13,9 @@ from .textops import blocks, column, words
 #: A run is the shortest one from a sentence on that has so many sentences and so many words.
 RUN_SENTENCES, RUN_WORDS = 3, 24
 #: Where so many words hold fewer whole sentences than a run has, they are a run too. It starts at a sentence, or at a
-#: word whose hash is less than both neighbours', so that a passage gives the same runs whatever stands around it.
-LONG_WORDS = 24
+#: word whose hash is less than those of its neighbours on both sides, so that a passage gives the same runs whatever
+#: stands around it.
+LONG_WORDS, NEIGHBOURS = 24, 2
 #: A sentence ends with a word that ends so, or at a line's end.
 ENDINGS = b".!?"
 _P = 0x9E3779B97F4A7C15
@@ -75,9 +76,12 @@ class Runs:
         opening = np.zeros(len(starts), bool)
         opening[begin] = True
         anchor = opening.copy()
-        if len(starts) > 2:
-            low = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] < hashes[2:])
-            anchor[1:-1] |= low & (of[1:-1] == of[:-2]) & (of[1:-1] == of[2:])
+        if len(starts) > 2 * NEIGHBOURS:
+            inner = slice(NEIGHBOURS, len(starts) - NEIGHBOURS)
+            low = of[: len(starts) - 2 * NEIGHBOURS] == of[2 * NEIGHBOURS :]
+            for k in (k for k in range(2 * NEIGHBOURS + 1) if k != NEIGHBOURS):
+                low &= hashes[inner] < hashes[k : len(starts) - 2 * NEIGHBOURS + k]
+            anchor[inner] |= low
         long = np.flatnonzero(anchor[: max(0, len(starts) - LONG_WORDS + 1)])
         ended = np.concatenate([[0], np.cumsum(final)])
         long = long[ended[long + LONG_WORDS] - ended[long] - ~opening[long] < RUN_SENTENCES]

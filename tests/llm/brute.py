@@ -129,7 +129,7 @@ def runs(text, sentence_count=3, least=24, long=24):
                 break
     h = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
     for i in range(len(words) - long + 1):
-        if i in begin or 0 < i < len(words) - 1 and h[i] < h[i - 1] and h[i] < h[i + 1]:
+        if i in begin or 1 < i < len(words) - 2 and h[i] < min(h[i - 2 : i] + h[i + 1 : i + 3]):
             whole = sum(i <= a and b <= i + long for a, b in zip(begin, ends))
             if whole < sentence_count:
                 yield i, i + long, tuple(words[i : i + long])
