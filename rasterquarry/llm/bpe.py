@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from .textops import blocks, column
 
 #: Bytes of words encoded by one query, though one word at least; bytes of words and ids that a worker remembers, and what an entry takes besides.
-QUERY_BYTES, REMEMBERED_BYTES, ENTRY_BYTES = 1 << 20, 96 << 20, 160
+QUERY_BYTES, REMEMBERED_BYTES, ENTRY_BYTES = 1 << 18, 48 << 20, 160
+#: Bytes of text encoded at once, though one text at least.
+TEXT_BYTES = 1 << 20
 #: Ids decoded by one query; a longer document takes several, whose bytes follow each other.
-QUERY_IDS = 400_000
+QUERY_IDS = 200_000
 _LETTER, _DIGIT, _SPACE, _OTHER = range(4)
 
 
@@ -256,7 +258,7 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 def _encode_batches(batches, path):
     for batch in batches:
-        for part in blocks(batch):
+        for part in blocks(batch, most=TEXT_BYTES):
             lists = _lists(coder(path).encode(column(part).to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
@@ -290,7 +292,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 def _round_trip_batches(batches, path, with_ids, more):
     for batch in batches:
-        for part in blocks(batch):
+        for part in blocks(batch, most=TEXT_BYTES):
             ids = coder(path).encode(column(part).to_pylist())
             back = coder(path).decode(ids)
             out = {
