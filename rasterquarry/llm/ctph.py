@@ -187,7 +187,7 @@ def _deal_batches(batches, lows, nulls):
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), pa.array(slot), pa.array(tail)], names=["doc_id", "text", "__slot", "__tail"])
 
 
-def fingerprints(docs: DataFrame, rows_in_range: int = 60_000) -> DataFrame:
+def fingerprints(docs: DataFrame, rows_in_range: int = 10_000) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row a document.
 
     Documents are taken in ascending order of doc_id (an integer), null first and equal ids by text; the last is
