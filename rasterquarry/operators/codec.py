@@ -145,20 +145,134 @@ def vps(data: bytes) -> dict:
     return out | _profile_tier_level(r, layers)
 
 
-def _scaling_lists(r: Bits) -> None:
+# The default lists of 8 x 8 and larger blocks along the diagonals, of intra and of other blocks.
+DEFAULT_INTRA = (
+    16, 16, 16, 16, 16, 16, 16, 16, 16, 16, 17, 16, 17, 16, 17, 18, 17, 18, 18, 17, 18, 21, 19, 20, 21, 20, 19, 21, 24, 22, 22, 24,
+    24, 22, 22, 24, 25, 25, 27, 30, 27, 25, 25, 29, 31, 35, 35, 31, 29, 36, 41, 44, 41, 36, 47, 54, 54, 47, 65, 70, 65, 88, 88, 115,
+)
+DEFAULT_OTHER = (
+    16, 16, 16, 16, 16, 16, 16, 16, 16, 16, 17, 17, 17, 17, 17, 18, 18, 18, 18, 18, 18, 20, 20, 20, 20, 20, 20, 20, 24, 24, 24, 24,
+    24, 24, 24, 24, 25, 25, 25, 25, 25, 25, 25, 28, 28, 28, 28, 28, 28, 33, 33, 33, 33, 33, 41, 41, 41, 41, 54, 54, 54, 71, 71, 91,
+)
+
+
+def default_lists() -> dict[tuple[int, int], tuple[tuple[int, ...], int]]:
+    """(values along the diagonals, first value of larger blocks) by size, 0 for 4 x 4 to 3 for 32 x 32, and matrix."""
+    return {(size, matrix): ((16,) * 16 if size == 0 else DEFAULT_INTRA if matrix < 3 else DEFAULT_OTHER, 16) for size in range(4) for matrix in range(6)}
+
+
+def _scaling_lists(r: Bits) -> dict[tuple[int, int], tuple[tuple[int, ...], int]]:
+    """The lists that a parameter set states: own ones by differences, copies of earlier ones, or the defaults."""
+    default = default_lists()
+    out = {}
     for size in range(4):
-        for _ in range(0, 6, 3 if size == 3 else 1):
+        step = 3 if size == 3 else 1
+        for matrix in range(0, 6, step):
             if not r.u(1):
-                r.ue()
+                back = r.ue() * step
+                if back > matrix:
+                    raise ValueError("scaling list before the first")
+                out[size, matrix] = out[size, matrix - back] if back else default[size, matrix]
                 continue
-            if size > 1:
-                r.se()
-            for _ in range(min(64, 1 << (4 + 2 * size))):
-                r.se()
+            value = first = 8 + r.se() if size > 1 else 8
+            values = []
+            for _ in range(16 if size == 0 else 64):
+                value = (value + r.se()) % 256
+                values.append(value)
+            out[size, matrix] = (tuple(values), first if size > 1 else 16)
+    for matrix in (1, 2, 4, 5):  # 32 x 32 chroma, in 4:4:4 only, takes those of 16 x 16
+        out[3, matrix] = out[2, matrix]
+    return out
+
+
+def _skip_sub_layer(r: Bits, n: int, low_delay_and_pictures: bool) -> None:
+    for _ in range(n):
+        r.ue(), r.ue()
+        if low_delay_and_pictures:
+            r.ue(), r.ue()
+        r.u(1)
 
 
-def sps(data: bytes) -> dict:
-    """The fields of a sequence parameter set up to its intra tools, and the sizes that follow from them."""
+def _skip_hrd(r: Bits, common: bool, layers: int) -> None:
+    """Passes over hypothetical decoder parameters."""
+    nal = vcl = pictures = 0
+    if common:
+        nal, vcl = r.u(1), r.u(1)
+        if nal or vcl:
+            pictures = r.u(1)
+            if pictures:
+                r.u(19)
+            r.u(8)
+            if pictures:
+                r.u(4)
+            r.u(15)
+    for _ in range(layers + 1):
+        fixed = r.u(1)
+        within = 1 if fixed else r.u(1)
+        low = 0
+        if within:
+            r.ue()
+        else:
+            low = r.u(1)
+        n = 1 if low else r.ue() + 1
+        if n > 32:
+            raise ValueError("too many decoder buffers")
+        _skip_sub_layer(r, n * (nal + vcl), bool(pictures))
+
+
+def _skip_vui(r: Bits, layers: int) -> dict:
+    """Passes over usability information and returns its colour fields."""
+    out = {}
+    if r.u(1) and r.u(8) == 255:
+        r.u(32)
+    if r.u(1):
+        r.u(1)
+    if r.u(1):
+        r.u(3)
+        out["full_range"] = r.u(1)
+        if r.u(1):
+            out |= {"primaries": r.u(8), "transfer": r.u(8), "matrix": r.u(8)}
+    if r.u(1):
+        r.ue(), r.ue()
+    r.u(3)
+    if r.u(1):
+        [r.ue() for _ in range(4)]
+    if r.u(1):
+        r.u(32), r.u(32)
+        if r.u(1):
+            r.ue()
+        if r.u(1):
+            _skip_hrd(r, True, layers)
+    if r.u(1):
+        r.u(3)
+        [r.ue() for _ in range(5)]
+    return out
+
+
+def _skip_reference_sets(r: Bits, n: int) -> None:
+    """Passes over short-term reference picture sets; predicted ones need the number of pictures of the set before."""
+    if n > 64:
+        raise ValueError("too many reference picture sets")
+    pictures = 0
+    for i in range(n):
+        if i and r.u(1):
+            r.u(1), r.ue()
+            kept = 0
+            for _ in range(pictures + 1):
+                if r.u(1) or r.u(1):
+                    kept += 1
+            pictures = kept
+            continue
+        before, after = r.ue(), r.ue()
+        if before + after > 16:
+            raise ValueError("too many reference pictures")
+        for _ in range(before + after):
+            r.ue(), r.u(1)
+        pictures = before + after
+
+
+def sps(data: bytes, whole: bool = False) -> dict:
+    """The fields of a sequence parameter set up to its intra tools, and the sizes that follow from them; whole: all that a decoder needs."""
     r = Bits(data)
     r.u(4)
     layers = r.u(3)
@@ -171,7 +285,7 @@ def sps(data: bytes) -> dict:
     out |= {"width": r.ue(), "height": r.ue()}
     out["window"] = [r.ue() for _ in range(4)] if r.u(1) else [0, 0, 0, 0]
     out |= {"bit_depth_luma": r.ue() + 8, "bit_depth_chroma": r.ue() + 8}
-    r.ue()
+    out["order_count_bits"] = r.ue() + 3
     for _ in range(layers + 1 if r.u(1) else 1):
         r.ue(), r.ue(), r.ue()
     low_cb, more_cb, low_tb, more_tb = r.ue() + 3, r.ue(), r.ue() + 2, r.ue()
@@ -179,8 +293,8 @@ def sps(data: bytes) -> dict:
     r.ue()
     out["intra_depth"] = r.ue()
     out["scaling_lists"] = r.u(1)
-    if out["scaling_lists"] and r.u(1):
-        _scaling_lists(r)
+    if out["scaling_lists"]:
+        out["lists"] = _scaling_lists(r) if r.u(1) else default_lists()
     out |= {"amp": r.u(1), "sao": r.u(1), "pcm": r.u(1)}
     if out["pcm"]:
         r.u(8), r.ue(), r.ue(), r.u(1)
@@ -188,11 +302,23 @@ def sps(data: bytes) -> dict:
     out |= {"ctbs_wide": -(-out["width"] // ctb), "ctbs_high": -(-out["height"] // ctb)}
     if not 0 < out["width"] <= 16384 or not 0 < out["height"] <= 16384:
         raise ValueError("picture size")
+    if whole:
+        if out["log2_ctb"] > 6 or out["log2_max_tb"] > min(5, out["log2_ctb"]) or out["log2_min_tb"] >= out["log2_min_cb"]:
+            raise ValueError("block sizes")
+        _skip_reference_sets(r, r.ue())
+        if r.u(1):
+            for _ in range(r.ue()):
+                r.u(out["order_count_bits"] + 1)
+        out |= {"temporal_prediction": r.u(1), "strong_smoothing": r.u(1)}
+        if r.u(1):
+            out["colour"] = _skip_vui(r, layers)
+        if r.u(1) and r.u(8) >> 7 and r.u(9):
+            raise ValueError("UnsupportedFeature: range extension")
     return out
 
 
-def pps(data: bytes) -> dict:
-    """The fields of a picture parameter set up to its in-loop filters; more than one tile is rejected."""
+def pps(data: bytes, whole: bool = False) -> dict:
+    """The fields of a picture parameter set up to its in-loop filters; more than one tile is rejected. whole: all that a decoder needs."""
     r = Bits(data)
     out = {"id": r.ue(), "sps_id": r.ue(), "dependent_slices": r.u(1), "output_flag": r.u(1), "extra_bits": r.u(3), "sign_hiding": r.u(1), "cabac_init": r.u(1)}
     r.ue(), r.ue()
@@ -210,6 +336,12 @@ def pps(data: bytes) -> dict:
         out |= {"deblock_override": r.u(1), "deblock_off": r.u(1)}
         if not out["deblock_off"]:
             out |= {"beta_offset": 2 * r.se(), "tc_offset": 2 * r.se()}
+    if whole:
+        out["lists"] = _scaling_lists(r) if r.u(1) else None
+        r.u(1), r.ue()
+        out["header_extension"] = r.u(1)
+        if r.u(1) and r.u(8) >> 7:
+            raise ValueError("UnsupportedFeature: range extension")
     return out
 
 
@@ -245,8 +377,8 @@ def parameter_sets(nals: DataFrame, kind: int) -> DataFrame:
     return nals.where(F.col("type") == kind).select("item", "payload").mapInArrow(partial(_parameter_batches, kind=kind, names=names), f"item {nals.schema['item'].dataType.simpleString()}, {ddl}, error string")
 
 
-def slice_header(data: bytes, kind: int, s: dict, p: dict) -> dict:
-    """The header of an intra slice of an IDR picture under its parameter sets; other slices are rejected."""
+def slice_header(data: bytes, kind: int, s: dict, p: dict, whole: bool = False) -> dict:
+    """The header of an intra slice of an IDR picture under its parameter sets; other slices are rejected. whole: also where its data begin."""
     r = Bits(data)
     if not r.u(1):
         raise ValueError("only one slice a picture is supported")
@@ -279,6 +411,12 @@ def slice_header(data: bytes, kind: int, s: dict, p: dict) -> dict:
         width = r.ue() + 1 if n else 0
         for _ in range(n):
             ends.append((ends[-1] if ends else 0) + r.u(width) + 1)
+    if whole:
+        if p["header_extension"]:
+            r.u(8 * r.ue())
+        if not r.u(1):
+            raise ValueError("slice header isn't aligned")
+        out["data_at"] = -(-r.at // 8)
     return out | {"entry_points": ends}
 
 
