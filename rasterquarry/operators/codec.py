@@ -305,9 +305,12 @@ def sps(data: bytes, whole: bool = False) -> dict:
     if whole:
         if out["log2_ctb"] > 6 or out["log2_max_tb"] > min(5, out["log2_ctb"]) or out["log2_min_tb"] >= out["log2_min_cb"]:
             raise ValueError("block sizes")
-        _skip_reference_sets(r, r.ue())
-        if r.u(1):
-            for _ in range(r.ue()):
+        out["reference_sets"] = r.ue()
+        _skip_reference_sets(r, out["reference_sets"])
+        out |= {"long_term": r.u(1), "long_term_sets": 0}
+        if out["long_term"]:
+            out["long_term_sets"] = r.ue()
+            for _ in range(out["long_term_sets"]):
                 r.u(out["order_count_bits"] + 1)
         out |= {"temporal_prediction": r.u(1), "strong_smoothing": r.u(1)}
         if r.u(1):
@@ -340,8 +343,12 @@ def pps(data: bytes, whole: bool = False) -> dict:
         out["lists"] = _scaling_lists(r) if r.u(1) else None
         r.u(1), r.ue()
         out["header_extension"] = r.u(1)
+        out["sao_scale"] = (0, 0)
         if r.u(1) and r.u(8) >> 7:
-            raise ValueError("UnsupportedFeature: range extension")
+            larger = r.ue() if out["transform_skip"] else 0
+            if larger or r.u(1) or r.u(1):
+                raise ValueError("UnsupportedFeature: range extension")
+            out["sao_scale"] = (r.ue(), r.ue())
     return out
 
 
@@ -377,14 +384,38 @@ def parameter_sets(nals: DataFrame, kind: int) -> DataFrame:
     return nals.where(F.col("type") == kind).select("item", "payload").mapInArrow(partial(_parameter_batches, kind=kind, names=names), f"item {nals.schema['item'].dataType.simpleString()}, {ddl}, error string")
 
 
+def _skip_slice_references(r: Bits, s: dict) -> None:
+    """Passes over the reference pictures of a slice of a picture that isn't IDR; a set predicted from another is rejected."""
+    r.u(s["order_count_bits"] + 1)
+    n = s["reference_sets"]
+    if r.u(1):
+        r.u(max(0, n - 1).bit_length())
+    else:
+        if n and r.u(1):
+            raise ValueError("UnsupportedFeature: predicted reference picture set")
+        for _ in range(r.ue() + r.ue()):
+            r.ue(), r.u(1)
+    if s["long_term"]:
+        of_sets = r.ue() if s["long_term_sets"] else 0
+        for i in range(of_sets + r.ue()):
+            if i < of_sets:
+                r.u(max(0, s["long_term_sets"] - 1).bit_length())
+            else:
+                r.u(s["order_count_bits"] + 2)
+            if r.u(1):
+                r.ue()
+    if s["temporal_prediction"]:
+        r.u(1)
+
+
 def slice_header(data: bytes, kind: int, s: dict, p: dict, whole: bool = False) -> dict:
-    """The header of an intra slice of an IDR picture under its parameter sets; other slices are rejected. whole: also where its data begin."""
+    """The header of an intra slice under its parameter sets; other slices, and pictures beside IDR unless the sets are whole, are rejected. whole: also where its data begin."""
     r = Bits(data)
     if not r.u(1):
         raise ValueError("only one slice a picture is supported")
-    if kind not in (19, 20):
+    if kind not in (19, 20) and not whole:
         raise ValueError("only IDR pictures are supported")
-    out = {"no_output_of_prior": r.u(1), "pps_id": r.ue()}
+    out = {"no_output_of_prior": r.u(1) if 16 <= kind <= 23 else 0, "pps_id": r.ue()}
     r.u(p.get("extra_bits") or 0)
     out["slice_type"] = r.ue()
     if out["slice_type"] != 2:
@@ -392,6 +423,8 @@ def slice_header(data: bytes, kind: int, s: dict, p: dict, whole: bool = False)
     out["output"] = r.u(1) if p.get("output_flag") else 1
     if s.get("separate_planes"):
         r.u(2)
+    if kind not in (19, 20):
+        _skip_slice_references(r, s)
     colour = s.get("chroma_format") and not s.get("separate_planes")
     out |= {"sao_luma": r.u(1) if s.get("sao") else 0, "sao_chroma": r.u(1) if s.get("sao") and colour else 0}
     out["qp"] = p["init_qp"] + r.se()

@@ -343,7 +343,7 @@ class Plan:
         self.planes = planes
 
     def sao(self, rx: int, ry: int):
-        """None to merge left, "up" to merge up, or by component (type, offsets, band or class)."""
+        """"left" or "up" to merge, or by component (type, offsets, band or class)."""
         return [(0, (0,) * 4, 0)] * 3
 
     def split(self, x: int, y: int, log2: int) -> int:
@@ -619,6 +619,12 @@ class Picture:
         if component and self.format != 3:
             log2 -= 1
             x, y = x >> self.sx, (y >> self.sy) + (half << log2)
+            if half and self.lossless:  # the block above will be as it was
+                above = slice(y - (1 << log2), y), slice(x, x + (1 << log2))
+                self.planes[component][above], self.have[component][above] = self.plan.planes[component][above], True
+                out = self.plan.levels(x, y, 1 << log2, component, self._predict(x, y, log2, component, half))
+                self.have[component][above] = False
+                return int(np.any(out))
         return int(np.any(self.plan.levels(x, y, 1 << log2, component, self._predict(x, y, log2, component, half))))
 
     def _chroma(self, x: int, y: int, log2: int, flags: list[tuple[int, int]]) -> None:
@@ -762,7 +768,7 @@ class Picture:
         for k, src in enumerate(planes):
             sx, sy = (self.sx, self.sy) if k else (0, 0)
             h, w = src.shape
-            new, grow = src.copy(), self.depth - min(self.depth, 10)
+            new, grow = src.copy(), self.p["sao_scale"][min(k, 1)]
             kept = self.kept.repeat(4 >> sy, 0).repeat(4 >> sx, 1)[:h, :w]
             for (rx, ry), params in self.sao.items():
                 kind, offsets, place = params[k]
@@ -923,22 +929,25 @@ def cropped(planes: list[np.ndarray], s: dict) -> list[np.ndarray]:
     return out
 
 
-_SCHEMA = "width int, height int, bit_depth int, chroma_format int, planes array<array<int>>, units array<array<int>>, blocks array<array<int>>, modes array<int>, error string"
+_SCHEMA = "width int, height int, bit_depth int, chroma_format int, planes array<array<int>>, units array<array<int>>, blocks array<array<int>>, modes array<int>, sao array<array<int>>, error string"
+
+
+def _flat_sao(pic: Picture) -> list[list[int]]:
+    return [[rx, ry, k, kind, *offsets, place] for (rx, ry), params in pic.sao.items() for k, (kind, offsets, place) in enumerate(params)]
 
 
 def _decode_batches(batches, length_size):
     lists = pa.list_(pa.list_(pa.int32()))
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), lists, lists, lists, pa.list_(pa.int32()), pa.string())
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), lists, lists, lists, pa.list_(pa.int32()), lists, pa.string())
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
     for batch in batches:
         for i, stream in enumerate(batch.column("stream").to_pylist()):
-            row = (None,) * 8
             try:
                 pic = decode_picture(stream or b"", length_size)
                 planes = cropped(pic.filtered(), pic.s)
-                row = (planes[0].shape[1], planes[0].shape[0], pic.depth, pic.format, [x.ravel().astype(np.int32) for x in planes], pic.units, pic.blocks, pic.modes.ravel().astype(np.int32), None)
+                row = (planes[0].shape[1], planes[0].shape[0], pic.depth, pic.format, [x.ravel().astype(np.int32) for x in planes], pic.units, pic.blocks, pic.modes.ravel().astype(np.int32), _flat_sao(pic), None)
             except (ValueError, IndexError) as e:
-                row = (*(None,) * 8, str(e) if isinstance(e, ValueError) else "MalformedInput: syntax out of range")
+                row = (*(None,) * 9, str(e) if isinstance(e, ValueError) else "MalformedInput: syntax out of range")
             yield pa.RecordBatch.from_arrays([batch.column("item").slice(i, 1), *(pa.array([v], t) for v, t in zip(row, types))], names=["item", *names])
 
 
@@ -947,7 +956,74 @@ def decode(streams: DataFrame, length_size: int = 4) -> DataFrame:
 
     planes are the cropped components in raster order after the in-loop filters; units are coding units (x, y, log2
     size, parts), blocks transform blocks (component, x, y, size, levels that aren't 0), modes the luma modes of 4 x 4
-    blocks. A stream that is empty, broken or not supported gives an error and no planes. A task holds one picture.
+    blocks, sao (column, row, component, type, four offsets, band or class) of coding tree units. A stream that is empty, broken or not supported gives an error and no planes. A task holds one picture.
     """
     kind = streams.schema["item"].dataType.simpleString()
     return streams.select("item", "stream").mapInArrow(partial(_decode_batches, length_size=length_size), f"item {kind}, {_SCHEMA}")
+
+
+# Parts of the syntax by themselves
+
+
+def _bin_batches(batches):
+    for batch in batches:
+        out = []
+        for r in batch.select(["stream", "qp", "places"]).to_pylist():
+            reader = Reader(r["stream"], r["qp"])
+            out.append([reader.bypass() if c < 0 else reader.bin(c) for c in r["places"]])
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(out, pa.list_(pa.int32()))], names=["item", "bins"])
+
+
+def read_bins(rows: DataFrame) -> DataFrame:
+    """(item, bins) of rows (item, stream, qp, places): the bins by the context at each place, -1 for a bypass bin."""
+    kind = rows.schema["item"].dataType.simpleString()
+    return rows.select("item", "stream", "qp", "places").mapInArrow(_bin_batches, f"item {kind}, bins array<int>")
+
+
+def _level_batches(batches):
+    for batch in batches:
+        out = []
+        for r in batch.select(["stream", "qp", "log2", "component", "scan"]).to_pylist():
+            out.append(residual(Reader(r["stream"], r["qp"]), r["log2"], r["component"], r["scan"], False).ravel().astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(out, pa.list_(pa.int32()))], names=["item", "levels"])
+
+
+def read_levels(rows: DataFrame) -> DataFrame:
+    """(item, levels) of rows (item, stream, qp, log2, component, scan): the levels of one block each, in raster order."""
+    kind = rows.schema["item"].dataType.simpleString()
+    return rows.select("item", "stream", "qp", "log2", "component", "scan").mapInArrow(_level_batches, f"item {kind}, levels array<int>")
+
+
+def _context_batches(batches):
+    for batch in batches:
+        out = [contexts(qp) for qp in batch.column("qp").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("qp"), pa.array(out, pa.list_(pa.int32()))], names=["qp", "contexts"])
+
+
+def initial_contexts(rows: DataFrame) -> DataFrame:
+    """(qp, contexts) of rows (qp int): all contexts of an intra slice, each twice its state and its more probable symbol."""
+    return rows.select("qp").mapInArrow(_context_batches, "qp int, contexts array<int>")
+
+
+def _list_batches(batches):
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("matrix", pa.int32()), ("values", pa.list_(pa.int32())), ("first", pa.int32())]))
+    for batch in batches:
+        out, more, errors = [], [], []
+        for payload in batch.column("payload").to_pylist():
+            row, error = {}, None
+            try:
+                row = C.sps(payload or b"", whole=True)
+            except ValueError as e:
+                error = str(e)
+            lists = row.get("lists")
+            out.append(None if lists is None else [{"size": s, "matrix": m, "values": v, "first": d} for (s, m), (v, d) in sorted(lists.items())])
+            more.append((row.get("strong_smoothing"), row.get("colour", {}).get("full_range"), row.get("colour", {}).get("primaries")))
+            errors.append(error)
+        own = list(zip(*more)) if more else [()] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(out, kind), *(pa.array(c, pa.int32()) for c in own), pa.array(errors, pa.string())], names=["item", "lists", "strong_smoothing", "full_range", "primaries", "error"])
+
+
+def whole_sps(rows: DataFrame) -> DataFrame:
+    """(item, lists, strong_smoothing, full_range, primaries, error) of rows (item, payload): what an SPS says after its sizes, past reference sets, usability and decoder parameters."""
+    kind = rows.schema["item"].dataType.simpleString()
+    return rows.select("item", "payload").mapInArrow(_list_batches, f"item {kind}, lists array<struct<size:int,matrix:int,values:array<int>,first:int>>, strong_smoothing int, full_range int, primaries int, error string")
