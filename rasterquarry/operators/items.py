@@ -1,29 +1,153 @@
-"""The item graph of image files as joins over box tables, and item payloads gathered from file extents."""
+"""The item graph of image files: each file is read and resolved once, in one batch function, and nothing is shuffled.
+
+FileGraph resolves one file's boxes; a Container offers the graphs of many files as a row each, and the same facts as
+tables (a row an item, extent, reference, property or association) for analytics.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from functools import cached_property, partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boxes as B
 
 TRANSFORMS = ("clap", "irot", "imir")
+MANDATORY = ("pitm", "iloc", "iinf", "iprp")
+HEVC_TYPES = ("hvc1", "hev1")
+
+
+class FileGraph:
+    """The items of one file. Boxes that can't be read add nothing; the first match wins among items of one id, and all ipco boxes count as one list."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        boxes = list(B._tree(data, 0, len(data), -1, 0))
+        self.kinds = {r[4] for r in boxes}
+        good = sorted((r for r in boxes if r[8] is None), key=lambda r: r[3])
+
+        def payloads(kind: str) -> Iterator[bytes]:
+            for r in good:
+                if r[4] == kind:
+                    yield data[r[6] : r[3] + r[5]]
+
+        def rows(kind: str) -> Iterator[tuple]:
+            for payload in payloads(kind):
+                try:
+                    own = list(B.ROWS[kind][0](payload))
+                except ValueError:
+                    continue
+                yield from own
+
+        self.primary = self._primary(next(payloads("pitm"), None))
+        self.items: dict[int, tuple] = {}
+        for r in rows("infe"):
+            self.items.setdefault(r[0], r)
+        self.extents: dict[int, list[tuple]] = {}
+        for r in rows("iloc"):
+            self.extents.setdefault(r[0], []).append(r)
+        self.edges = list(rows("iref"))
+        self.associations: dict[int, list[tuple[int, bool]]] = {}
+        for item, _, index, essential in rows("ipma"):
+            self.associations.setdefault(item, []).append((index, essential))
+        parents = {r[3] for r in good if r[4] == "ipco"}
+        self.props = [(r[4], data[r[6] : r[3] + r[5]]) for r in sorted((r for r in good if r[0] in parents), key=lambda r: (r[0], r[1]))]
+        self.idat = next(payloads("idat"), None)
+
+    @staticmethod
+    def _primary(payload: bytes | None) -> int | None:
+        if payload is None or len(payload) < 4 or payload[0] > 1 or len(payload) < (6, 8)[payload[0]]:
+            return None
+        return int.from_bytes(payload[4 : (6, 8)[payload[0]]], "big")
+
+    def type_of(self, item: int | None) -> str | None:
+        return self.items[item][1] if item in self.items else None
+
+    def properties(self, item: int | None) -> list[tuple]:
+        """(position, type, essential, payload) in association order; index 0 means none, one beyond the properties has no type."""
+        own = self.associations.get(item, ())
+        return [(k, *((self.props[i - 1][0], e, self.props[i - 1][1]) if i <= len(self.props) else (None, e, None))) for k, (i, e) in enumerate(own, 1) if i]
+
+    def references(self, item: int | None) -> list[tuple[str, int, int]]:
+        return sorted((kind, k, to) for kind, source, k, to in self.edges if source == item)
+
+    def tiles(self) -> list[int]:
+        """The primary item's dimg targets, flattened in order."""
+        return [to for _, _, to in sorted(((k, n, to) for n, (kind, source, k, to) in enumerate(self.edges) if kind == "dimg" and source == self.primary))]
+
+    def error(self) -> str | None:
+        if not self.kinds:
+            return "no boxes"
+        missing = next((t for t in MANDATORY if t not in self.kinds), None)
+        if missing:
+            return f"missing {missing}"
+        if self.type_of(self.primary) is None:
+            return "primary item not in iinf"
+        if self.primary not in self.extents:
+            return "primary item not in iloc"
+        return "property index out of range" if any(p[1] is None for p in self.properties(self.primary)) else None
+
+    def payload(self, item: int) -> tuple[int | None, bytes | None, str | None]:
+        """(method, bytes, error): an item's extents in order, of the file (method 0) or the idat box (1); an empty one adds nothing."""
+        own = self.extents.get(item)
+        if not own:
+            return None, None, "no location"
+        method = own[0][1]
+        if any(r[2] for r in own):
+            return method, None, "external data reference"
+        if method > 1:
+            return method, None, "unsupported construction method"
+        source = self.data if method == 0 else self.idat
+        if source is None:
+            return method, None, "missing idat"
+        if any(r[5] + r[6] > len(source) for r in own):
+            return method, None, "extent out of bounds"
+        return method, b"".join(source[r[5] : r[5] + r[6]] for r in sorted(own, key=lambda r: r[3])), None
+
+    def described_by(self, kind: str) -> int | None:
+        """The least item of a type that describes the primary item."""
+        return min((source for ref, source, _, to in self.edges if ref == "cdsc" and to == self.primary and self.type_of(source) == kind), default=None)
+
+
+_PROPERTY = "struct<assoc_pos:int,prop_type:string,essential:boolean,prop:binary>"
+_PAYLOAD = "struct<item_id:bigint,method:int,payload:binary,error:string>"
+_GRAPH = f"item_id bigint, item_type string, hidden boolean, references array<struct<ref_type:string,ref_pos:int,to_id:bigint>>, properties array<{_PROPERTY}>, tiles array<struct<tile_pos:int,item_id:bigint,item_type:string>>, tile_properties array<{_PROPERTY}>, payloads array<{_PAYLOAD}>, error string"
+
+
+def _graph_batches(batches, key, which, fields):
+    def named(names: str, rows) -> list[dict]:
+        return [dict(zip(names.split(), r)) for r in rows]
+
+    for batch in batches:
+        out = []
+        for data in batch.column(1).to_pylist():
+            g = FileGraph(data or b"")
+            tiles = g.tiles()
+            wanted = {"none": [], "primary": [g.primary], "all": list(g.extents)}[which]
+            own = "assoc_pos prop_type essential prop"
+            out.append((
+                g.primary, g.type_of(g.primary), g.items[g.primary][6] if g.primary in g.items else None,
+                named("ref_type ref_pos to_id", g.references(g.primary)) or None, named(own, g.properties(g.primary)) or None,
+                named("tile_pos item_id item_type", ((k, t, g.type_of(t)) for k, t in enumerate(tiles))), named(own, g.properties(tiles[0])) if tiles else [],
+                named("item_id method payload error", ((i, *g.payload(i)) for i in wanted if i in g.extents)), g.error(),
+            ))
+        columns = list(zip(*out)) if out else [()] * len(fields)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, fields))], names=[key, *(f.name for f in fields)])
+
+
+def graphs(files: DataFrame, which: str = "none") -> DataFrame:
+    """A row a file: the primary item, its references and properties in order, a grid's tiles and its first tile's properties, payloads of no, the primary or all items, error.
+
+    files: (file_id, content). Every file is read once by the task that has it, and only what the row holds leaves it.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-
-@dataclass
-class Container:
-    """The tables of many files. All are keyed by file_id, so joins on it share one partitioning."""
-
-    files: DataFrame
-    tree: DataFrame
-    pitm: DataFrame
-    items: DataFrame
-    extents: DataFrame
-    edges: DataFrame
-    properties: DataFrame
-    associations: DataFrame
+    fields = list(to_arrow_schema(StructType.fromDDL(_GRAPH)))
+    return files.select("file_id", "content").mapInArrow(partial(_graph_batches, key="file_id", which=which, fields=fields), f"file_id {files.schema['file_id'].dataType.simpleString()}, {_GRAPH}")
 
 
 def _first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -31,24 +155,52 @@ def _first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def open_container(files: DataFrame) -> Container:
-    """files: (file_id, content). A box that can't be read adds no rows.
+class Container:
+    """Files' graphs, and tables of their facts, each keyed by file_id and read from the files when it is asked for."""
 
-    Every table reads the tree, which has no pixel data: it is parsed once and kept (memory, then disk) until the
-    caller unpersists it; what a lost executor kept is parsed again.
-    """
-    tree = B.boxes(files).persist()
-    pitm = _first(tree.where("type = 'pitm' AND error IS NULL").select("file_id", "off", B.pitm(F.col("payload"))["item_id"].alias("item_id")), ["file_id"], "off").select("file_id", "item_id")
-    items = _first(B.rows_of(tree, "infe").where("error IS NULL"), ["file_id", "item_id"], "off").select("file_id", "item_id", "item_type", "name", "content_type", "hidden")
-    extents = B.rows_of(tree, "iloc").where("error IS NULL").drop("error", "off")
-    edges = B.rows_of(tree, "iref").where("error IS NULL").drop("error", "off")
-    ipco = tree.where("type = 'ipco' AND error IS NULL").select("file_id", F.col("off").alias("parent"))
-    props = tree.where("error IS NULL").join(ipco, ["file_id", "parent"]).select("file_id", "parent", "pos", F.col("type").alias("prop_type"), "payload")
-    number = F.row_number().over(Window.partitionBy("file_id").orderBy("parent", "pos"))  # over all ipco boxes, from 1
-    props = props.withColumn("prop_index", number).select("file_id", "prop_index", "prop_type", F.col("payload").alias("prop"))
-    assoc = B.rows_of(tree, "ipma").where("error IS NULL")
-    assoc = assoc.withColumn("assoc_pos", F.row_number().over(Window.partitionBy("file_id", "item_id").orderBy("off", "assoc_pos"))).drop("error", "off")
-    return Container(files, tree, pitm, items, extents, edges, props, assoc)
+    def __init__(self, files: DataFrame):
+        self.files = files
+
+    @cached_property
+    def graph(self) -> DataFrame:
+        return graphs(self.files)
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        return B.boxes(self.files)
+
+    @cached_property
+    def pitm(self) -> DataFrame:
+        return self.graph.where("item_id IS NOT NULL").select("file_id", "item_id")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return _first(B.rows_of(self.tree, "infe").where("error IS NULL"), ["file_id", "item_id"], "off").select("file_id", "item_id", "item_type", "name", "content_type", "hidden")
+
+    @cached_property
+    def extents(self) -> DataFrame:
+        return B.rows_of(self.tree, "iloc").where("error IS NULL").drop("error", "off")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return B.rows_of(self.tree, "iref").where("error IS NULL").drop("error", "off")
+
+    @cached_property
+    def properties(self) -> DataFrame:
+        ipco = self.tree.where("type = 'ipco' AND error IS NULL").select("file_id", F.col("off").alias("parent"))
+        props = self.tree.where("error IS NULL").join(ipco, ["file_id", "parent"]).select("file_id", "parent", "pos", F.col("type").alias("prop_type"), "payload")
+        number = F.row_number().over(Window.partitionBy("file_id").orderBy("parent", "pos"))  # over all ipco boxes, from 1
+        return props.withColumn("prop_index", number).select("file_id", "prop_index", "prop_type", F.col("payload").alias("prop"))
+
+    @cached_property
+    def associations(self) -> DataFrame:
+        assoc = B.rows_of(self.tree, "ipma").where("error IS NULL")
+        return assoc.withColumn("assoc_pos", F.row_number().over(Window.partitionBy("file_id", "item_id").orderBy("off", "assoc_pos"))).drop("error", "off")
+
+
+def open_container(files: DataFrame) -> Container:
+    """files: (file_id, content). Nothing is read before a table of the container is used, and nothing stays in memory."""
+    return Container(files)
 
 
 def item_properties(c: Container, items: DataFrame) -> DataFrame:
@@ -59,18 +211,8 @@ def item_properties(c: Container, items: DataFrame) -> DataFrame:
 
 
 def resolve_primary(c: Container) -> DataFrame:
-    """One row a file: item_id, item_type, references and properties in order, error. pitm, iloc, iinf and iprp are mandatory; first matches win."""
-    own = item_properties(c, c.pitm)
-    props = own.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("assoc_pos", "prop_type", "essential", "prop"))).alias("properties"), F.max("error").alias("bad_property"))
-    refs = c.edges.join(c.pitm.withColumnRenamed("item_id", "from_id"), ["file_id", "from_id"]).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ref_type", "ref_pos", "to_id"))).alias("references"))
-    has = c.tree.groupBy("file_id").agg(*(F.max(F.col("type") == t).alias(t) for t in ("pitm", "iloc", "iinf", "iprp")))
-    located = c.extents.select("file_id", "item_id").distinct().withColumn("located", F.lit(True))
-    out = c.files.select("file_id").join(has, "file_id", "left").join(c.pitm, "file_id", "left").join(c.items, ["file_id", "item_id"], "left").join(located, ["file_id", "item_id"], "left").join(refs, "file_id", "left").join(props, "file_id", "left")
-    error = F.when(F.col("pitm").isNull(), "no boxes")
-    for t in ("pitm", "iloc", "iinf", "iprp"):
-        error = error.when(~F.col(t), f"missing {t}")
-    error = error.when(F.col("item_type").isNull(), "primary item not in iinf").when(F.col("located").isNull(), "primary item not in iloc").when(F.col("bad_property").isNotNull(), F.col("bad_property"))
-    return out.select("file_id", "item_id", "item_type", "hidden", "references", "properties", error.alias("error"))
+    """One row a file: item_id, item_type, hidden, references and properties in order, error. pitm, iloc, iinf and iprp are mandatory; first matches win."""
+    return c.graph.select("file_id", "item_id", "item_type", "hidden", "references", "properties", "error")
 
 
 def transform_list(resolved: DataFrame) -> DataFrame:
@@ -81,29 +223,31 @@ def transform_list(resolved: DataFrame) -> DataFrame:
     return resolved.select("file_id", F.coalesce(clean, F.array().cast("array<struct<kind:string,ccw_degrees:bigint,axis:string>>")).alias("transforms"))
 
 
-def last_colours(properties: DataFrame) -> DataFrame:
-    """(file_id, item_id, nclx, icc) of item_properties' rows: the last colr of each kind; the undefined nclx (2, 2, 2, full) counts as none."""
-    c = properties.where("prop_type = 'colr'").select("file_id", "item_id", "assoc_pos", B.colr(F.col("prop")).alias("c")).where("c.error IS NULL")
-    value = F.struct("c.primaries", "c.transfer", "c.matrix", "c.full_range")
-    last = c.groupBy("file_id", "item_id").agg(F.max_by(value, F.when(F.col("c.kind") != "icc", F.col("assoc_pos"))).alias("nclx"), F.max_by("c.icc", F.when(F.col("c.kind") == "icc", F.col("assoc_pos"))).alias("icc"))
-    undefined = F.expr("nclx.primaries = 2 AND nclx.transfer = 2 AND nclx.matrix = 2 AND nclx.full_range")
-    return last.withColumn("nclx", F.when(~F.coalesce(undefined, F.lit(False)), F.col("nclx")))
+def _read_colours(properties: str) -> Column:
+    """The colr boxes of an array of properties that can be read."""
+    return F.filter(F.transform(F.filter(properties, lambda p: p["prop_type"] == "colr"), lambda p: B.colr(p["prop"])), lambda c: c["error"].isNull())
+
+
+def _last_colours(found: str) -> Column:
+    """struct<nclx, icc>: the last colour of each kind; the undefined nclx (2, 2, 2, full) counts as none."""
+    nclx = F.try_element_at(F.filter(found, lambda c: c["kind"] != "icc"), F.lit(-1))
+    icc = F.try_element_at(F.filter(found, lambda c: c["kind"] == "icc"), F.lit(-1))["icc"]
+    fields = ("primaries", "transfer", "matrix", "full_range")
+    value = F.transform(F.filter(F.array(nclx), lambda c: c.isNotNull()), lambda c: F.struct(*(c[k].alias(k) for k in fields)))
+    known = F.filter(value, lambda c: ~F.coalesce((c["primaries"] == 2) & (c["transfer"] == 2) & (c["matrix"] == 2) & c["full_range"], F.lit(False)))
+    return F.struct(F.get(known, F.lit(0)).alias("nclx"), icc.alias("icc"))
 
 
 def tiles(c: Container) -> DataFrame:
     """(file_id, tile_pos, item_id) of primary grids: their dimg targets, flattened in order."""
-    own = c.edges.where("ref_type = 'dimg'").join(c.pitm.withColumnRenamed("item_id", "from_id"), ["file_id", "from_id"])
-    return own.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("ref_pos")) - 1).alias("tile_pos"), F.col("to_id").alias("item_id"))
+    return c.graph.select("file_id", F.explode("tiles").alias("t")).select("file_id", "t.tile_pos", "t.item_id")
 
 
 def colour_properties(c: Container) -> DataFrame:
     """(file_id, nclx, icc) of the primary item; a grid takes what it lacks from its first tile, each kind by itself."""
-    kind = c.pitm.join(c.items, ["file_id", "item_id"]).select("file_id", "item_type")
-    own = last_colours(item_properties(c, c.pitm)).select("file_id", F.col("nclx").alias("own_nclx"), F.col("icc").alias("own_icc"))
-    first = last_colours(item_properties(c, tiles(c).where("tile_pos = 0"))).select("file_id", F.col("nclx").alias("tile_nclx"), F.col("icc").alias("tile_icc"))
-    both = kind.join(own, "file_id", "left").join(first, "file_id", "left")
-    grid = F.col("item_type") == "grid"
-    return both.select("file_id", F.coalesce("own_nclx", F.when(grid, F.col("tile_nclx"))).alias("nclx"), F.coalesce("own_icc", F.when(grid, F.col("tile_icc"))).alias("icc"))
+    rows = c.graph.where("item_id IS NOT NULL AND item_type IS NOT NULL").select("file_id", (F.col("item_type") == "grid").alias("grid"), _read_colours("properties").alias("own"), _read_colours("tile_properties").alias("tile"))
+    rows = rows.select("file_id", "grid", _last_colours("own").alias("own"), _last_colours("tile").alias("tile"))
+    return rows.select("file_id", *(F.coalesce(F.col(f"own.{k}"), F.when(F.col("grid"), F.col(f"tile.{k}"))).alias(k) for k in ("nclx", "icc")))
 
 
 def gather(source: Column, extents: Column) -> Column:
@@ -114,34 +258,29 @@ def gather(source: Column, extents: Column) -> Column:
     return F.struct(F.when(~bad, data).alias("payload"), F.when(bad, "extent out of bounds").alias("error"))
 
 
-def item_payloads(c: Container, items: DataFrame) -> DataFrame:
-    """(file_id, item_id, method, payload, error) of items: method 0 reads the file, 1 the idat box; other methods and data references are unsupported."""
-    own = c.extents.join(items.select("file_id", "item_id").distinct(), ["file_id", "item_id"])
-    lists = own.groupBy("file_id", "item_id").agg(F.first("method").alias("method"), F.max("data_reference").alias("ref"), F.array_sort(F.collect_list(F.struct("extent", F.col("extent_off").alias("off"), F.col("extent_len").alias("len")))).alias("extents"))
-    idat = _first(c.tree.where("type = 'idat' AND error IS NULL").select("file_id", "off", F.col("payload").alias("idat")), ["file_id"], "off").drop("off")
-    both = lists.join(c.files.select("file_id", "content"), "file_id").join(idat, "file_id", "left")
-    got = gather(F.when(F.col("method") == 0, F.col("content")).otherwise(F.col("idat")), F.col("extents"))
-    error = F.when(F.col("ref") != 0, "external data reference").when(F.col("method") > 1, "unsupported construction method").when((F.col("method") == 1) & F.col("idat").isNull(), "missing idat").otherwise(F.col("g.error"))
-    return both.withColumn("g", got).select("file_id", "item_id", "method", F.when(error.isNull(), F.col("g.payload")).alias("payload"), error.alias("error"))
+def item_payloads(c: Container, items: DataFrame | None = None) -> DataFrame:
+    """(file_id, item_id, method, payload, error) of the primary items, or of those in items: method 0 reads the file, 1 the idat box; other methods and data references are unsupported.
+
+    Payloads are cut where the file is read. Only a caller's own list of items is joined, to payloads, never to files.
+    """
+    which = "primary" if items is None or items is c.pitm else "all"
+    rows = graphs(c.files, which).select("file_id", F.explode("payloads").alias("p")).select("file_id", "p.*")
+    return rows if which == "primary" else rows.join(items.select("file_id", "item_id").distinct(), ["file_id", "item_id"], "left_semi")
 
 
 def extract(c: Container, types: tuple[str, ...]) -> DataFrame:
     """(file_id, item_id, method, payload, error) of primary items of the given types; others get an error."""
-    primary = c.pitm.join(c.items, ["file_id", "item_id"]).select("file_id", "item_id", "item_type")
-    got = item_payloads(c, primary.where(F.col("item_type").isin(*types)))
-    error = F.when(~F.col("item_type").isin(*types), "unexpected primary item type").otherwise(F.col("error"))
-    return primary.join(got, ["file_id", "item_id"], "left").select("file_id", "item_id", "method", "payload", error.alias("error"))
+    rows = graphs(c.files, "primary").where("item_id IS NOT NULL AND item_type IS NOT NULL").select("file_id", "item_id", F.col("item_type").isin(*types).alias("good"), F.get("payloads", F.lit(0)).alias("p"))
+    error = F.when(~F.col("good"), "unexpected primary item type").otherwise(F.col("p.error"))
+    return rows.select("file_id", "item_id", F.when(F.col("good"), F.col("p.method")).alias("method"), F.when(F.col("good"), F.col("p.payload")).alias("payload"), error.alias("error"))
 
 
 def extract_grid(c: Container) -> DataFrame:
     """(file_id, rows, columns, width, height, tiles, error) of primary grids: as many tiles as rows times columns, each of a coded HEVC type."""
-    grid = extract(c, ("grid",)).where("payload IS NOT NULL").select("file_id", B.grid(F.col("payload")).alias("g"))
-    own = tiles(c).join(c.items, ["file_id", "item_id"], "left")
-    lists = own.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("tile_pos", "item_id", "item_type"))).alias("tiles"))
-    n = F.col("g.rows") * F.col("g.columns")
-    both = grid.join(lists, "file_id", "left")
-    error = F.coalesce(F.col("g.error"), F.when(F.coalesce(F.size("tiles"), F.lit(0)) != n, "tile count"), F.when(F.exists("tiles", lambda t: ~F.coalesce(t["item_type"], F.lit("")).isin("hvc1", "hev1")), "tile type"))
-    return both.select("file_id", "g.rows", "g.columns", "g.width", "g.height", F.transform("tiles", lambda t: t["item_id"]).alias("tiles"), error.alias("error"))
+    rows = graphs(c.files, "primary").where("item_type = 'grid'").select("file_id", "tiles", F.get("payloads", F.lit(0))["payload"].alias("payload"))
+    rows = rows.where("payload IS NOT NULL").select("file_id", "tiles", B.grid(F.col("payload")).alias("g"))
+    error = F.coalesce(F.col("g.error"), F.when(F.size("tiles") != F.col("g.rows") * F.col("g.columns"), "tile count"), F.when(F.exists("tiles", lambda t: ~F.coalesce(t["item_type"], F.lit("")).isin(*HEVC_TYPES)), "tile type"))
+    return rows.select("file_id", "g.rows", "g.columns", "g.width", "g.height", F.transform("tiles", lambda t: t["item_id"]).alias("tiles"), error.alias("error"))
 
 
 def checked_properties(resolved: DataFrame, config: str, strict: bool) -> DataFrame:

@@ -82,6 +82,7 @@ def pictures(spark, sf_dir, **options):
     e, w = F.col("event_id"), F.col("user_id")
     sample = F.struct((e % SAMPLES).cast("int").alias("at"), ((e * 7919 + w * 104729) % 256).cast("int").alias("v"), ((e * 31 + w * 17) % 256).cast("int").alias("cb"), ((e * 57 + w * 13) % 256).cast("int").alias("cr"))
     rows = events(spark, sf_dir).groupBy(F.floor(e / SAMPLES).cast("long").alias("item")).agg(F.collect_list(sample).alias("samples"))
+    rows = rows.repartition(spark.sparkContext.defaultParallelism)  # few rows, much to do for each
     from functools import partial
 
     return rows.mapInArrow(partial(_write_batches, options=options), "item long, stream binary")
