@@ -491,6 +491,21 @@ def slice_headers(nals: DataFrame) -> DataFrame:
 # Closed formulas
 
 
+def slice_type(code: Column) -> Column:
+    """`B`, `P` or `I`; null for another code."""
+    return F.get(F.array(F.lit("B"), F.lit("P"), F.lit("I")), code.cast("int"))
+
+
+def derived_sizes(size: Column, log2_ctb: Column) -> Column:
+    """struct<ctb, n>: the side of a coding tree unit, and how many of them cover a picture's side."""
+    ctb = F.call_function("shiftleft", F.lit(1).cast("long"), log2_ctb.cast("int"))
+    return F.struct(ctb.alias("ctb"), F.floor((size + ctb - 1) / ctb).alias("n"))
+
+
+def chroma_array_type(chroma_format: Column, separate_planes: Column) -> Column:
+    return F.when(separate_planes, 0).otherwise(chroma_format).cast("long")
+
+
 def chroma_qp(qpi: Column, subsampled: Column | bool = True) -> Column:
     """Chroma QP of a luma-based index: the table in 4:2:0, else at most 51."""
     # The table for indexes 30 to 42.

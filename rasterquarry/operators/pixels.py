@@ -23,7 +23,7 @@ LEVEL_SCALE = (40, 45, 51, 57, 64, 72)
 
 def dequantize(c: Column, qp: Column, bit_depth: int, log2_size: int, m: Column | None = None) -> Column:
     """A coefficient scaled flat, or by its matrix value m, and clipped to 16 bits; 64-bit arithmetic throughout."""
-    scale = F.shiftleft(F.get(F.array(*(F.lit(x).cast("long") for x in LEVEL_SCALE)), (qp % 6).cast("int")) * 1, 0)
+    scale = F.get(F.array(*(F.lit(x).cast("long") for x in LEVEL_SCALE)), (qp % 6).cast("int"))
     scale = scale * F.pow(F.lit(2), F.floor(qp / 6)).cast("long")
     value, shift = c.cast("long") * scale, bit_depth - 9 + log2_size
     if m is not None:
@@ -315,6 +315,27 @@ def crop(px: DataFrame, left: int, right: int, top: int, bottom: int, width: int
     return px.where(inside).withColumns({"x": F.col("x") - left, "y": F.col("y") - top})
 
 
+def narrowed(v: Column) -> Column:
+    """A 16-bit sample as the nearest of 8 bits."""
+    return F.floor((v + 128) / 257)
+
+
+def chroma_size(size: Column, halved: Column) -> Column:
+    """A chroma plane's side: half of luma's, rounded up, where the format halves it."""
+    return F.when(halved, F.floor((size + 1) / 2)).otherwise(size)
+
+
+def samples_at(px: DataFrame, places: DataFrame, none: int = 0) -> DataFrame:
+    """places (img, at_x, at_y, more) with the sample v of px at each, `none` outside the plane."""
+    there = px.select("img", F.col("x").alias("at_x"), F.col("y").alias("at_y"), "v")
+    return places.join(there, ["img", "at_x", "at_y"], "left").withColumn("v", F.coalesce("v", F.lit(none)))
+
+
+def with_alpha(px: DataFrame, alpha: DataFrame) -> DataFrame:
+    """px with the a of alpha (img, x, y, a); opaque, 255, where there is none."""
+    return px.join(alpha.select("img", "x", "y", "a"), ["img", "x", "y"], "left").withColumn("a", F.coalesce("a", F.lit(255)))
+
+
 # Geometry: where a pixel goes
 
 

@@ -82,7 +82,7 @@ formula(
 )
 formula("bits", lambda e: {"high": by.bits(e, 8, 4), "low": by.bits(e, 0, 3), "text": F.lpad(F.bin(e), 20, "0")}, "e // 256 % 16 AS high, e % 8 AS low, lpad(bin(e), 20, '0') AS text")
 formula("exp_golomb", lambda e: {"ue": by.ue_bits(F.concat(ue(e % 500), F.lit("1011"))), "se": by.se_bits(F.concat(ue(e % 500), F.lit("1011")))}, "e % 500 AS ue, CASE WHEN e % 500 % 2 = 1 THEN (e % 500 + 1) // 2 ELSE -(e % 500 // 2) END AS se")
-formula("slice_enums", lambda e: {"slice_type": F.get(F.array(F.lit("B"), F.lit("P"), F.lit("I")), (e % 3).cast("int")), "intra": e % 3 == 2}, "['B', 'P', 'I'][(e % 3 + 1)::INT] AS slice_type, e % 3 = 2 AS intra")
+formula("slice_enums", lambda e: {"slice_type": C.slice_type(e % 3), "intra": C.slice_type(e % 3) == "I"}, "['B', 'P', 'I'][(e % 3 + 1)::INT] AS slice_type, e % 3 = 2 AS intra")
 formula(
     "chroma_qp",
     lambda e: {"qp": C.chroma_qp(e % 60 - 2).cast("long"), "other": C.chroma_qp(e % 60 - 2, False).cast("long")},
@@ -123,7 +123,7 @@ formula(
 )
 formula(
     "ps_derived",
-    lambda e: {"ctb": F.expr("shiftleft(1L, int(e % 4 + 3))"), "wide": F.expr("(e + shiftleft(1L, int(e % 4 + 3))) div shiftleft(1L, int(e % 4 + 3))"), "depth": e % 5 + 8, "array_type": F.when(e % 2 == 1, 0).otherwise(e % 4).cast("long")},
+    lambda e: {"ctb": C.derived_sizes(e + 1, e % 4 + 3)["ctb"], "wide": C.derived_sizes(e + 1, e % 4 + 3)["n"], "depth": e % 5 + 8, "array_type": C.chroma_array_type(e % 4, e % 2 == 1)},
     "(1 << (e % 4 + 3)::INT)::BIGINT AS ctb, ((e + (1 << (e % 4 + 3)::INT)) // (1 << (e % 4 + 3)::INT))::BIGINT AS wide, e % 5 + 8 AS depth, CASE WHEN e % 2 = 1 THEN 0 ELSE e % 4 END::BIGINT AS array_type",
 )
 

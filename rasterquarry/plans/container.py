@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterquarry.functions import bytes as by
 from rasterquarry.operators import boxes as B
+from rasterquarry.operators import host
 from rasterquarry.operators import items as I
 from rasterquarry.sources import files as S
 
@@ -338,9 +339,20 @@ for name, types, config, strict, ks in (("props_avif", ("av01",), "av1C", True,
 # the host side
 
 
-@query(f"WITH {F_SQL} SELECT file_id, 'heif' AS family FROM f")
+#: Brands by event: those that are known, and some that aren't.
+BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1", "miaf", "avif", "avis", "hevm", "jpeg", "isom")
+
+
+@query(f"""SELECT event_id::BIGINT AS file_id, CASE WHEN event_id % 5 = 4 OR event_id % 14 > 10 THEN NULL WHEN event_id % 14 IN (9, 10) THEN 'avif' ELSE 'heif' END AS family FROM events""")
 def hook_detect(spark, sf_dir):
-    return files(spark, sf_dir).select("file_id", S.family(F.col("content")).alias("family"))
+    """Families by brand; files without ftyp, and cut off ones, have none."""
+    from .fixtures import box, text, u
+
+    e = F.col("event_id")
+    brand = F.get(F.array(*(text(b) for b in BRANDS)), (e % 14).cast("int"))
+    whole = box("ftyp", brand, u(0, 4), text("mif1"))
+    head = F.when(e % 10 == 4, F.substr(whole, F.lit(1), F.lit(22))).when(e % 10 == 9, box("free", brand, u(0, 4))).otherwise(whole)
+    return events(spark, sf_dir).select(e.alias("file_id"), S.family(F.unhex(head)).alias("family"))
 
 
 @query(f"WITH {SIZES_SQL} SELECT file_id, CASE WHEN 48 + meta > 360 THEN 'ResourceLimit' END AS error, 48 + meta <= 360 AS has_content FROM z")
@@ -349,18 +361,8 @@ def hook_limits(spark, sf_dir):
     return S.limited(rows, 360).select("file_id", "error", F.col("content").isNotNull().alias("has_content"))
 
 
-@query(f"WITH {F_SQL} SELECT file_id, e % 640 AS width, e % 480 + 1 AS height, e % 4 IN (1, 3) AS swapped, true AS orientation_suppressed FROM f")
-def hook_meta(spark, sf_dir):
-    r = I.resolve_primary(I.open_container(files(spark, sf_dir)))
-    size = B.ispe(F.get(F.filter("properties", lambda p: p["prop_type"] == "ispe"), 0)["prop"])
-    turn = B.irot(F.get(F.filter("properties", lambda p: p["prop_type"] == "irot"), 0)["prop"])["ccw_degrees"]
-    moved = F.exists("properties", lambda p: p["prop_type"].isin(*I.TRANSFORMS))
-    return r.select("file_id", size["width"].alias("width"), size["height"].alias("height"), turn.isin(90, 270).alias("swapped"), moved.alias("orientation_suppressed"))
-
-
 @query("SELECT event_id::BIGINT AS file_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id * 4 * (event_id % 100) * 2)::BIGINT END AS total_bytes, CASE WHEN event_id % 2 = 0 THEN 'rgba8' ELSE 'rgba16' END AS storage FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, NULL, CASE WHEN event_id % 2 = 0 THEN 'rgba8' ELSE 'rgba16' END FROM events WHERE event_id % 3 = 0")
 def hook_sizes(spark, sf_dir):
     e = F.col("event_id")
     w, h = F.when(e % 3 == 0, F.lit(1 << 62)).otherwise(e), F.when(e % 3 == 0, F.lit(4)).otherwise(e % 100)
-    total = F.try_multiply(F.try_multiply(F.try_multiply(w, h), F.lit(4).cast("long")), F.lit(2).cast("long"))
-    return events(spark, sf_dir).select(e.alias("file_id"), total.alias("total_bytes"), F.when((e % 2) * 4 + 8 <= 8, "rgba8").otherwise("rgba16").alias("storage"))
+    return events(spark, sf_dir).select(e.alias("file_id"), host.rgba_bytes(w, h, F.lit(16)).alias("total_bytes"), host.storage((e % 2) * 4 + 8).alias("storage"))

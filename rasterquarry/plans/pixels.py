@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterquarry.operators import host
 from rasterquarry.operators import pixels as P
+from rasterquarry.operators import reports as R
 
 from .container import events
 from .fixtures import HEIGHT, PIXELS_SQL, WIDTH
@@ -267,8 +269,8 @@ for name, order in (("out_rgb", "rgb"), ("out_rgba", "rgba"), ("out_bgr", "bgr")
     ORACLES[name] = f"WITH {_RGB} SELECT img, sha256(string_agg({one}, ',' ORDER BY y, x)) AS sha256, (count(*) * {len(order)})::BIGINT AS n_samples FROM c GROUP BY img"
 
 formula("bit_replicate", lambda e: {"ten": P.replicate_bits(e % 1024, 10), "twelve": P.replicate_bits(e % 4096, 12), "eight": P.replicate_bits(e % 256, 8)}, "((e % 1024) << 6) | ((e % 1024) >> 4) AS ten, ((e % 4096) << 4) | ((e % 4096) >> 8) AS twelve, (e % 256) * 257 AS eight")
-formula("x_decode_rgb8", lambda e: {"v": F.expr("(e % 65536 + 128) div 257")}, "(e % 65536 + 128) // 257 AS v")
-formula("frame_alloc", lambda e: {"cw": F.expr("(e % 4000 + 1 + 1) div 2"), "ch": F.expr("CASE WHEN e % 3 = 0 THEN (e % 3000 + 1 + 1) div 2 ELSE e % 3000 + 1 END")}, "(e % 4000 + 2) // 2 AS cw, CASE WHEN e % 3 = 0 THEN (e % 3000 + 2) // 2 ELSE e % 3000 + 1 END AS ch")
+formula("x_decode_rgb8", lambda e: {"v": P.narrowed(e % 65536)}, "(e % 65536 + 128) // 257 AS v")
+formula("frame_alloc", lambda e: {"cw": P.chroma_size(e % 4000 + 1, F.lit(True)), "ch": P.chroma_size(e % 3000 + 1, e % 3 == 0)}, "(e % 4000 + 2) // 2 AS cw, CASE WHEN e % 3 = 0 THEN (e % 3000 + 2) // 2 ELSE e % 3000 + 1 END AS ch")
 
 
 @query(f"WITH {PIXELS_SQL} SELECT img, (x - 3)::INT AS x, (y - 1)::INT AS y, v FROM px WHERE x BETWEEN 3 AND 22 AND y BETWEEN 1 AND 10")
@@ -279,8 +281,8 @@ def crop(spark, sf_dir):
 @query(f"WITH {PIXELS_SQL} SELECT a.img, a.x, a.y, coalesce(b.v, 0)::INT AS v FROM px a LEFT JOIN px b ON b.img = a.img AND b.x = a.x + 5 AND b.y = a.y + 5")
 def sample_get(spark, sf_dir):
     p = px(spark, sf_dir)
-    there = p.select("img", (F.col("x") - 5).alias("x"), (F.col("y") - 5).alias("y"), "v")
-    return p.select("img", "x", "y").join(there, ["img", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    places = p.select("img", "x", "y", (F.col("x") + 5).alias("at_x"), (F.col("y") + 5).alias("at_y"))
+    return P.samples_at(p.select("img", "x", "y", "v"), places).select("img", "x", "y", "v")
 
 
 # geometry
@@ -331,17 +333,15 @@ def bench_workers(spark, sf_dir):
 SELECT CASE WHEN failed AND reason = 'unsupported tool' THEN 'EXPECTED_FAIL' WHEN failed OR differs THEN 'FAIL' ELSE 'PASS' END AS status, count(*)::BIGINT AS n FROM o GROUP BY 1""")
 def h_verify(spark, sf_dir):
     e = F.col("event_id")
-    rows = events(spark, sf_dir).select(e, (e % 7 == 0).alias("failed"), F.when(e % 14 == 0, "unsupported tool").otherwise("bad box").alias("reason"), (e % 5 == 0).alias("differs"))
-    known = spark.sql("SELECT * FROM VALUES ('unsupported', 'known gap') AS t(part, kind)")  # stated expected failures: a few rows
-    both = rows.join(F.broadcast(known), rows.failed & F.contains(rows.reason, known.part), "left")
-    status = F.when(F.col("failed") & F.col("kind").isNotNull(), "EXPECTED_FAIL").when(F.col("failed") | F.col("differs"), "FAIL").otherwise("PASS")
-    return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    rows = events(spark, sf_dir).select((e % 7 == 0).alias("failed"), F.when(e % 14 == 0, "unsupported tool").otherwise("bad box").alias("reason"), (e % 5 == 0).alias("differs"))
+    kind = R.expected_kind(F.lit(""), F.col("reason"), [("", "unsupported", "known gap")])
+    return rows.groupBy(R.verdict(F.col("failed"), F.col("differs"), kind).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id % 3 AS mode, count(*)::BIGINT AS runs, min(event_id * 7 % 1000)::BIGINT AS fastest_ms, max(event_id * 13 % 5000)::BIGINT AS peak_mb, sum(event_id * 7 % 1000)::BIGINT AS total_ms FROM events GROUP BY 1")
 def h_bench_pair(spark, sf_dir):
     e = F.col("event_id")
-    return events(spark, sf_dir).groupBy((F.col("user_id") % 3).alias("mode")).agg(F.count("*").alias("runs"), F.min(e * 7 % 1000).alias("fastest_ms"), F.max(e * 13 % 5000).alias("peak_mb"), F.sum(e * 7 % 1000).alias("total_ms"))
+    return R.compared_modes(events(spark, sf_dir).select((F.col("user_id") % 3).alias("mode"), (e * 7 % 1000).alias("ms"), (e * 13 % 5000).alias("mb")))
 
 
 # pictures as a whole
@@ -439,7 +439,7 @@ def x_grid(spark, sf_dir):
 def x_alpha(spark, sf_dir):
     p = px(spark, sf_dir)
     alpha = p.where("img % 2 = 0").select("img", "x", "y", F.col("cb").alias("a"))
-    return p.select("img", "x", "y", "v").join(alpha, ["img", "x", "y"], "left").withColumn("a", F.coalesce("a", F.lit(255)))
+    return P.with_alpha(p.select("img", "x", "y", "v"), alpha)
 
 
 # reports over files
@@ -450,8 +450,7 @@ def h_gather(spark, sf_dir):
     e = F.col("event_id")
     name = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"), F.get(F.array(*map(F.lit, (".heic", ".avif", ".png"))), F.when(e % 3 == 2, 2).otherwise(e % 2).cast("int")))
     rows = events(spark, sf_dir).select(name.alias("path"))
-    ends = lambda *x: rows.where(F.substring_index("path", ".", -1).isin(*x))
-    return ends("heic", "heif").union(ends("avif")).distinct()
+    return R.with_extensions(rows, "heic", "heif", "avif")
 
 
 @query("SELECT 'f' || lpad(event_id::VARCHAR, 8, '0') AS file_id FROM events WHERE event_id % 7 = 0")
@@ -467,8 +466,7 @@ def h_icc_compare(spark, sf_dir):
     theirs = F.when(e % 5 != 0, F.sha2(e.cast("string").cast("binary"), 256))
     ours = F.when(e % 7 != 0, F.when(e % 11 == 0, F.lit("x")).otherwise(F.sha2(e.cast("string").cast("binary"), 256)))
     rows = events(spark, sf_dir).select(e.alias("file"), theirs.alias("t"), ours.alias("o"))
-    verdict = F.when(F.col("t").isNull() & F.col("o").isNull(), "both absent").when(F.col("t").isNull(), "only ours").when(F.col("o").isNull(), "missing").when(F.col("t") != F.col("o"), "differs").otherwise("equal")
-    return rows.select("file", verdict.alias("verdict"))
+    return rows.select("file", R.compared_profiles(F.col("o"), F.col("t")).alias("verdict"))
 
 
 def _float_sql(depth: int, full: bool) -> str:
@@ -512,24 +510,155 @@ def hook_convert(spark, sf_dir):
     """A buffer is taken only if it holds four samples a pixel."""
     e = F.col("event_id")
     rows = events(spark, sf_dir).select(e.alias("image"), (e % 9 + 1).alias("w"), (e % 7 + 1).alias("h"), (e % 9 * 4 + 8).alias("n"))
-    return rows.select("image", F.when(F.try_multiply(F.col("w") * 4, F.col("h")) == F.col("n"), "ok").otherwise("Parameter: sample count").alias("verdict"))
+    return rows.select("image", host.buffer_verdict(F.col("w"), F.col("h"), F.col("n")).alias("verdict"))
 
 
 @query("""SELECT event_id AS file, CASE WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN 'jpeg2000' WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'vvc' END AS kind FROM events""")
 def h_expected_rust(spark, sf_dir):
-    """Expected failures by path part and reason part: a stated list of a few rows, broadcast."""
+    """Expected failures by path part and reason part: a stated list of a few cases."""
     e = F.col("event_id")
     rows = events(spark, sf_dir).select(e.alias("file"), F.concat(F.get(F.array(*map(F.lit, ("j2k", "vvc", "avc", "hevc"))), (e % 4).cast("int")), F.lit("/"), e.cast("string")).alias("path"), F.when(e % 3 == 0, "item type is unsupported").otherwise("").alias("reason"))
-    known = spark.sql("SELECT * FROM VALUES ('j2k', 'unsupported', 'jpeg2000'), ('vvc', 'unsupported', 'vvc') AS t(part, why, kind)")
-    both = rows.join(F.broadcast(known), F.startswith(rows.path, known.part) & F.contains(rows.reason, known.why), "left")
-    return both.select("file", "kind")
+    return rows.select("file", R.expected_kind(F.col("path"), F.col("reason"), [("j2k", "unsupported", "jpeg2000"), ("vvc", "unsupported", "vvc")]).alias("kind"))
 
 
 @query("SELECT user_id % 10 AS file, count(*)::BIGINT AS runs, sum(event_id % 500)::BIGINT AS ours_ms, sum(event_id % 300 + 1)::BIGINT AS theirs_ms, max(event_id % 900)::BIGINT AS peak_mb, sum(event_id % 500) > 2.5 * sum(event_id % 300 + 1) AS over FROM events GROUP BY 1")
 def h_bench_decode(spark, sf_dir):
     e = F.col("event_id")
-    sums = events(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("file")).agg(F.count("*").alias("runs"), F.sum(e % 500).alias("ours_ms"), F.sum(e % 300 + 1).alias("theirs_ms"), F.max(e % 900).alias("peak_mb"))
-    return sums.withColumn("over", F.col("ours_ms") > 2.5 * F.col("theirs_ms"))
+    runs = events(spark, sf_dir).select((F.col("user_id") % 10).alias("file"), (e % 500).alias("ours_ms"), (e % 300 + 1).alias("theirs_ms"), (e % 900).alias("peak_mb"))
+    return R.timings(runs, "file")
+
+
+@query("SELECT user_id % 8 AS workers, max(event_id % 400)::BIGINT AS slowest_ms, max(event_id % 2000)::BIGINT AS peak_mb, max(event_id % 2000) > 1536 AS over FROM events GROUP BY 1")
+def h_bench_stream(spark, sf_dir):
+    e = F.col("event_id")
+    return R.concurrent(events(spark, sf_dir).select((F.col("user_id") % 8).alias("workers"), (e % 400).alias("ms"), (e % 2000).alias("mb")))
+
+
+@query(f"""WITH {PIXELS_SQL}, b AS (SELECT DISTINCT img, x AS x0, y AS y0 FROM px WHERE x % 8 = 0 AND y % 8 = 0), i AS (SELECT unnest(range(33))::INT AS i),
+c AS (SELECT img, x0, y0, i, CASE WHEN i < 16 THEN x0 - 1 WHEN i = 16 THEN x0 - 1 ELSE x0 + i - 17 END AS x, CASE WHEN i < 16 THEN y0 + 15 - i WHEN i = 16 THEN y0 - 1 ELSE y0 - 1 END AS y FROM b, i)
+SELECT c.img, c.x0, c.y0, count(p.v)::BIGINT AS n_available, coalesce(sum(p.v * (c.i + 1)), 0)::BIGINT AS weighed FROM c LEFT JOIN px p ON p.img = c.img AND p.x = c.x AND p.y = c.y GROUP BY c.img, c.x0, c.y0""")
+def border_fill(spark, sf_dir):
+    p = px(spark, sf_dir).select("img", "x", "y", "v")
+    at = p.where("x % 8 = 0 AND y % 8 = 0").select("img", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    got = P.borders(p, at, 8)
+    weighed = F.aggregate(F.transform("border", lambda v, i: F.coalesce(v.cast("long"), F.lit(0).cast("long")) * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return got.select("img", "x0", "y0", F.size(F.filter("border", lambda v: v.isNotNull())).cast("long").alias("n_available"), weighed.alias("weighed"))
+
+
+@query(f"""WITH {_COLOUR} SELECT img, x - 3 AS x, row - 1 AS y, greatest(0, least(255, y + ((359 * cr + 128) >> 8)))::INT AS r, greatest(0, least(255, y + ((-88 * cb - 183 * cr + 128) >> 8)))::INT AS g, greatest(0, least(255, y + ((454 * cb + 128) >> 8)))::INT AS b FROM u WHERE x BETWEEN 3 AND 20 AND row BETWEEN 1 AND 11""")
+def cc_420_fixed(spark, sf_dir):
+    """A region keeps the chroma phase of the whole picture: upsampled first, cropped after."""
+    rows = P.crop(upsampled(spark, sf_dir), 3, 4, 1, 4, WIDTH, HEIGHT)
+    rows = rows.withColumn("c", P.rgb(F.col("v"), F.col("cb"), F.col("cr"), F.lit(6), F.lit(True)))
+    return rows.select("img", "x", "y", "c.r", "c.g", "c.b")
+
+
+@query(f"""WITH {_COLOUR} SELECT img, x, row AS y, greatest(0, least(255, (y - 16) * 9576 + 13126 * cr + 4096 >> 13))::INT AS r, greatest(0, least(255, (y - 16) * 9576 - 3222 * cb - 6686 * cr + 4096 >> 13))::INT AS g, greatest(0, least(255, (y - 16) * 9576 + 16591 * cb + 4096 >> 13))::INT AS b FROM u""")
+def cc_420_rgb(spark, sf_dir):
+    """Samples of ten bits, brought to eight by a shift first."""
+    rows = upsampled(spark, sf_dir).withColumns({k: F.shiftright(F.col(k) * 4 + 3, 2) for k in ("v", "cb", "cr")})
+    rows = rows.withColumn("c", P.rgb(F.col("v"), F.col("cb"), F.col("cr"), F.lit(6), F.lit(False)))
+    return rows.select("img", "x", "y", "c.r", "c.g", "c.b")
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT img // 4 AS img, (x + img % 2 * 25)::INT AS x, (y + img % 4 // 2 * 16)::INT AS y, v FROM px WHERE x + img % 2 * 25 < 45 AND y + img % 4 // 2 * 16 < 30""")
+def x_grid(spark, sf_dir):
+    """Tiles of 25 x 16 pasted by rows of two into pictures of 45 x 30: what is beyond is cut."""
+    tiles = px(spark, sf_dir).select(F.expr("img div 4").alias("img"), (F.col("img") % 4).alias("tile"), "x", "y", "v")
+    return P.paste(tiles, 2, WIDTH, HEIGHT, 45, 30)
+
+
+@query(f"""WITH {PIXELS_SQL}, a AS (SELECT img, x, y, cb AS a FROM px WHERE img % 2 = 0) SELECT p.img, p.x, p.y, p.v, coalesce(a.a, 255)::INT AS a FROM px p LEFT JOIN a USING (img, x, y)""")
+def x_alpha(spark, sf_dir):
+    p = px(spark, sf_dir)
+    alpha = p.where("img % 2 = 0").select("img", "x", "y", F.col("cb").alias("a"))
+    return P.with_alpha(p.select("img", "x", "y", "v"), alpha)
+
+
+# reports over files
+
+
+@query("SELECT DISTINCT 'f' || (user_id % 40) || ['.heic', '.avif'][(event_id % 2 + 1)::INT] AS path FROM events WHERE event_id % 3 < 2")
+def h_gather(spark, sf_dir):
+    e = F.col("event_id")
+    name = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"), F.get(F.array(*map(F.lit, (".heic", ".avif", ".png"))), F.when(e % 3 == 2, 2).otherwise(e % 2).cast("int")))
+    rows = events(spark, sf_dir).select(name.alias("path"))
+    return R.with_extensions(rows, "heic", "heif", "avif")
+
+
+@query("SELECT 'f' || lpad(event_id::VARCHAR, 8, '0') AS file_id FROM events WHERE event_id % 7 = 0")
+def h_sample(spark, sf_dir):
+    from rasterquarry.sources.files import sampled
+
+    return sampled(events(spark, sf_dir).select(F.concat(F.lit("f"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("file_id")), 7)
+
+
+@query("""SELECT event_id AS file, CASE WHEN event_id % 5 = 0 AND event_id % 7 = 0 THEN 'both absent' WHEN event_id % 5 = 0 THEN 'only ours' WHEN event_id % 7 = 0 THEN 'missing' WHEN event_id % 11 = 0 THEN 'differs' ELSE 'equal' END AS verdict FROM events""")
+def h_icc_compare(spark, sf_dir):
+    e = F.col("event_id")
+    theirs = F.when(e % 5 != 0, F.sha2(e.cast("string").cast("binary"), 256))
+    ours = F.when(e % 7 != 0, F.when(e % 11 == 0, F.lit("x")).otherwise(F.sha2(e.cast("string").cast("binary"), 256)))
+    rows = events(spark, sf_dir).select(e.alias("file"), theirs.alias("t"), ours.alias("o"))
+    return rows.select("file", R.compared_profiles(F.col("o"), F.col("t")).alias("verdict"))
+
+
+def _float_sql(depth: int, full: bool) -> str:
+    kr, kb = 0.2126, 0.0722
+    kg = 1 - kr - kb
+    up = 1 << (depth - 8)
+    f = lambda v: f"{float(v)!r}::FLOAT"
+    s = "" if full else f" * {f(1.1429)}"
+    luma = "v::FLOAT" if full else f"(v::FLOAT - {f(16 * up)}) * {f(1.1689)}"
+    blue, red = f"(b::FLOAT - {f(128 * up)}){s}", f"(r::FLOAT - {f(128 * up)}){s}"
+    parts = {"r": f"{luma} + {f(2 * (1 - kr))} * ({red})", "g": f"{luma} + {f(-2 * kb * (1 - kb) / kg)} * ({blue}) + {f(-2 * kr * (1 - kr) / kg)} * ({red})", "b": f"{luma} + {f(2 * (1 - kb))} * ({blue})"}
+    return ", ".join(f"greatest(0, least({(1 << depth) - 1}, trunc({v} + 0.5::FLOAT)::INT))::INT AS {k}" for k, v in parts.items())
+
+
+@query(f"WITH {PIXELS_SQL} SELECT img, x, y, {_float_sql(8, False)} FROM (SELECT img, x, y, v, cb AS b, cr AS r FROM px)")
+def cc_float8(spark, sf_dir):
+    c = P.rgb_float(F.col("v"), F.col("cb"), F.col("cr"), 0.2126, 0.0722, 8, False)
+    return px(spark, sf_dir).select("img", "x", "y", c.alias("c")).select("img", "x", "y", "c.r", "c.g", "c.b")
+
+
+@query(f"WITH {PIXELS_SQL}, c AS (SELECT img, x, y, {_float_sql(10, True)} FROM (SELECT img, x, y, v * 4 + 1 AS v, cb * 4 + 2 AS b, cr * 4 + 3 AS r FROM px)) SELECT img, x, y, (r << 6) | (r >> 4) AS r, (g << 6) | (g >> 4) AS g, (b << 6) | (b >> 4) AS b FROM c")
+def cc_float16(spark, sf_dir):
+    c = P.rgb_float(F.col("v") * 4 + 1, F.col("cb") * 4 + 2, F.col("cr") * 4 + 3, 0.2126, 0.0722, 10, True)
+    rows = px(spark, sf_dir).select("img", "x", "y", c.alias("c"))
+    return rows.select("img", "x", "y", *(P.replicate_bits(F.col(f"c.{k}"), 10).alias(k) for k in "rgb"))
+
+
+formula("tskip_bypass", lambda e: {"v": F.when(e % 3 == 0, e % 601 - 300).otherwise(P.skipped_transform(e % 601 - 300)).cast("int")}, "(CASE WHEN e % 3 = 0 THEN e % 601 - 300 ELSE ((e % 601 - 300) * 128 + 2048) >> 12 END)::INT AS v")
+
+
+@query(f"WITH s AS ({transform_sql(4, True)}), c AS ({transform_sql(4, False)}) SELECT blk, CASE WHEN blk % 4 = 0 THEN s.residual ELSE c.residual END AS residual FROM s JOIN c USING (blk)")
+def itrans_dispatch(spark, sf_dir):
+    """The sine transform for 4 x 4 intra luma, the cosine transform for the rest."""
+    b = blocks(spark, sf_dir, 4)
+    out = P.inverse_transforms(b.where("blk % 4 = 0"), 4, 8, True).unionByName(P.inverse_transforms(b.where("blk % 4 <> 0"), 4))
+    return out.select("blk", joined("residual"))
+
+
+@query("SELECT event_id AS image, CASE WHEN (event_id % 9 + 1) * (event_id % 7 + 1) * 4 = event_id % 9 * 4 + 8 THEN 'ok' ELSE 'Parameter: sample count' END AS verdict FROM events")
+def hook_convert(spark, sf_dir):
+    """A buffer is taken only if it holds four samples a pixel."""
+    e = F.col("event_id")
+    rows = events(spark, sf_dir).select(e.alias("image"), (e % 9 + 1).alias("w"), (e % 7 + 1).alias("h"), (e % 9 * 4 + 8).alias("n"))
+    return rows.select("image", host.buffer_verdict(F.col("w"), F.col("h"), F.col("n")).alias("verdict"))
+
+
+@query("""SELECT event_id AS file, CASE WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN 'jpeg2000' WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'vvc' END AS kind FROM events""")
+def h_expected_rust(spark, sf_dir):
+    """Expected failures by path part and reason part: a stated list of a few cases."""
+    e = F.col("event_id")
+    rows = events(spark, sf_dir).select(e.alias("file"), F.concat(F.get(F.array(*map(F.lit, ("j2k", "vvc", "avc", "hevc"))), (e % 4).cast("int")), F.lit("/"), e.cast("string")).alias("path"), F.when(e % 3 == 0, "item type is unsupported").otherwise("").alias("reason"))
+    return rows.select("file", R.expected_kind(F.col("path"), F.col("reason"), [("j2k", "unsupported", "jpeg2000"), ("vvc", "unsupported", "vvc")]).alias("kind"))
+
+
+@query("SELECT user_id % 10 AS file, count(*)::BIGINT AS runs, sum(event_id % 500)::BIGINT AS ours_ms, sum(event_id % 300 + 1)::BIGINT AS theirs_ms, max(event_id % 900)::BIGINT AS peak_mb, sum(event_id % 500) > 2.5 * sum(event_id % 300 + 1) AS over FROM events GROUP BY 1")
+def h_bench_decode(spark, sf_dir):
+    e = F.col("event_id")
+    runs = events(spark, sf_dir).select((F.col("user_id") % 10).alias("file"), (e % 500).alias("ours_ms"), (e % 300 + 1).alias("theirs_ms"), (e % 900).alias("peak_mb"))
+    return R.timings(runs, "file")
 
 
 @query("SELECT user_id % 8 AS workers, max(event_id % 400)::BIGINT AS slowest_ms, max(event_id % 2000)::BIGINT AS peak_mb, max(event_id % 2000) > 1536 AS over FROM events GROUP BY 1")

@@ -11,7 +11,7 @@ from rasterquarry.functions.bytes import part
 MAX_INPUT_BYTES = 128 << 20
 # The ftyp brands by which content is known.
 AVIF_BRANDS = ("avif", "avis")
-HEIF_BRANDS = ("heic", "heix", "heis", "heim", "hevc", "hevx", "hevm", "hevs", "mif1")
+HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1", "miaf")
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.{heic,heif,avif,HEIC,HEIF,AVIF}") -> DataFrame:
@@ -21,9 +21,16 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.{heic,heif,avi
 
 
 def limited(files: DataFrame, most: int = MAX_INPUT_BYTES) -> DataFrame:
-    """files with `error`: ResourceLimit for those longer than `most`, by reported length or by content; their content becomes null."""
-    over = F.greatest(F.col("length"), F.octet_length("content")) > most
-    return files.withColumns({"error": F.when(over, "ResourceLimit"), "content": F.when(~over, F.col("content"))})
+    """files with `error`: ResourceLimit for those longer than `most`, by reported length or by content; their content becomes null.
+
+    Over a folder the reported length is filtered first, which Spark pushes into the scan: the content of a file that
+    is too long is never read. Only a file whose length is a lie is read before it is rejected.
+    """
+    told = files.where(F.col("length") <= most)
+    lies = F.octet_length("content") > most
+    good = told.withColumns({"error": F.when(lies, "ResourceLimit"), "content": F.when(~lies, F.col("content"))})
+    over = files.where(F.col("length") > most).withColumns({"error": F.lit("ResourceLimit"), "content": F.lit(None).cast("binary")})
+    return good.unionByName(over)
 
 
 def family(content: Column) -> Column:
@@ -40,9 +47,12 @@ def read_range(content: Column, at: Column, n: Column) -> Column:
 
 
 def sampled(files: DataFrame, step: int) -> DataFrame:
-    """Every step-th path by name: rank by window over paths alone, which are a row a file."""
+    """Every step-th path by name. Paths alone are range-partitioned and counted within their range; a range's first rank is the sum of the counts before it."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.orderBy("file_id"))
-    kept = files.select("file_id").distinct().withColumn("__n", rank).where((F.col("__n") - 1) % step == 0)
+    paths = files.select("file_id").distinct().repartitionByRange("file_id").select("file_id", F.spark_partition_id().alias("__range"))
+    paths = paths.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy("file_id")))
+    counts = paths.groupBy("__range").agg(F.count("*").alias("__count"))  # a row a range
+    before = counts.select("__range", (F.sum("__count").over(Window.orderBy("__range")) - F.col("__count")).alias("__before"))
+    kept = paths.join(before, "__range").where((F.col("__before") + F.col("__n") - 1) % step == 0)
     return files.join(kept.select("file_id"), "file_id", "left_semi")

@@ -26,17 +26,17 @@ def test_orientation_and_transforms(spark):
     rot = lambda k: (box("irot", bytes([k])),)
     rows = [(1, wire.container(exif=wire.tiff(6))), (2, wire.container(exif=wire.tiff(6), props=rot(1))), (3, wire.container(exif=wire.tiff(6, "<"), props=rot(0))), (4, wire.container(exif=wire.tiff(6, "<"))), (5, wire.container(props=(box("imir", b"\1"),)))]
     got = {r.file_id: r for r in images.decode_uncompressed(table(spark, rows)).collect()}
-    assert {k: r.orientation for k, r in got.items()} == {1: 6, 2: None, 3: None, 4: 6, 5: None}
+    assert {k: r.orientation for k, r in got.items()} == {1: 6, 2: None, 3: 6, 4: 6, 5: None}
     assert (got[2].width, got[2].height) == (1, 2) and list(got[2].rgba) == [200, 150, 100, 255, 10, 20, 30, 255]
     assert list(got[5].rgba)[:4] == [200, 150, 100, 255]
 
 
 def test_bad_files_are_rows_with_errors(spark):
     good = wire.container()
-    rows = [(1, good[:-3]), (2, b""), (3, None), (4, wire.container(kind="hvc1")), (5, wire.container(payload=b"abc")), (6, good), (7, b"\0\0\0\1mdat"), (8, wire.container(config=full("uncC", 1, 0, b"zzzz")))]
+    rows = [(1, good[:-3]), (2, b""), (3, None), (4, wire.container(kind="av01")), (9, wire.container(kind="hvc1")), (5, wire.container(payload=b"abc")), (6, good), (7, b"\0\0\0\1mdat"), (8, wire.container(config=full("uncC", 1, 0, b"zzzz")))]
     got = {r.file_id: r.error for r in images.decode_uncompressed(table(spark, rows)).collect()}
-    assert got[6] is None and all(got[k] for k in got if k != 6) and set(got) == set(range(1, 9))
-    assert got[4].startswith("UnsupportedFeature") and got[5].startswith("MalformedInput")
+    assert got[6] is None and all(got[k] for k in got if k != 6) and set(got) == set(range(1, 10))
+    assert got[4].startswith("UnsupportedFeature") and got[5].startswith("MalformedInput") and got[9] == "MalformedInput: missing hvcC"
 
 
 def test_planar_components(spark):
