@@ -46,10 +46,18 @@ def box_next(spark, sf_dir):
     return B.boxes(files(spark, sf_dir)).where("depth = 0").select("file_id", "pos", "off", "type", "size")
 
 
-@query(f"WITH {F_SQL} SELECT file_id, 20::BIGINT AS n_boxes, 0::BIGINT AS n_errors FROM f")
+def damaged(spark, sf_dir) -> DataFrame:
+    """files(), of which some are cut off inside meta, have a first box that is too small, or have no content."""
+    e = F.col("file_id")
+    small = F.concat(F.unhex(F.lit("00000007")), F.substring("content", 5, 1 << 30))
+    content = F.when(e % 11 == 10, F.lit(None).cast("binary")).when(e % 5 == 4, F.substring("content", 1, 60)).when(e % 7 == 6, small).otherwise(F.col("content"))
+    return files(spark, sf_dir).withColumn("content", content)
+
+
+@query(f"WITH {F_SQL} SELECT file_id, CASE WHEN e % 5 = 4 THEN 3 WHEN e % 7 = 6 THEN 1 ELSE 20 END::BIGINT AS n_boxes, CASE WHEN e % 5 = 4 OR e % 7 = 6 THEN 1 ELSE 0 END::BIGINT AS n_errors FROM f WHERE e % 11 <> 10")
 def box_list(spark, sf_dir):
-    tree = B.boxes(files(spark, sf_dir))
-    return tree.groupBy("file_id").agg(F.count("*").alias("n_boxes"), F.count("error").alias("n_errors"))
+    """Boxes and errors of each file that has content; a file that is cut off inside its last box has an error there."""
+    return B.boxes(damaged(spark, sf_dir)).groupBy("file_id").agg(F.count("*").alias("n_boxes"), F.count("error").alias("n_errors"))
 
 
 @query(f"""WITH {SIZES_SQL}
@@ -223,9 +231,12 @@ def dec_uncc(spark, sf_dir):
 PROPS_SQL = "'ispe,pixi,colr,' || CASE WHEN k = 1 THEN 'av1C' ELSE 'hvcC' END || ',imir,irot'"
 
 
-@query(f"WITH {F_SQL} SELECT file_id, item AS item_id, ['hvc1', 'av01', 'unci', 'grid'][k + 1] AS item_type, {PROPS_SQL} AS properties, CASE WHEN k = 3 THEN 'dimg ' || (item + 10) || ',dimg ' || (item + 20) END AS references, NULL::VARCHAR AS error FROM f".replace("AS references", 'AS "references"'))
+@query(f"""WITH {F_SQL}, d AS (SELECT *, CASE WHEN e % 11 = 10 THEN 'no boxes' WHEN e % 5 = 4 OR e % 7 = 6 THEN 'missing pitm' END AS error FROM f)
+SELECT file_id, CASE WHEN error IS NULL THEN item END AS item_id, CASE WHEN error IS NULL THEN ['hvc1', 'av01', 'unci', 'grid'][k + 1] END AS item_type, CASE WHEN error IS NULL THEN {PROPS_SQL} END AS properties,
+CASE WHEN error IS NULL AND k = 3 THEN 'dimg ' || (item + 10) || ',dimg ' || (item + 20) END AS "references", error FROM d""")
 def resolve_primary(spark, sf_dir):
-    r = I.resolve_primary(I.open_container(files(spark, sf_dir)))
+    """Primary items of whole files and of damaged ones."""
+    r = I.resolve_primary(I.open_container(damaged(spark, sf_dir)))
     props = F.array_join(F.transform("properties", lambda p: p["prop_type"]), ",")
     refs = F.array_join(F.transform("references", lambda p: F.concat(p["ref_type"], F.lit(" "), p["to_id"].cast("string"))), ",")
     return r.select("file_id", "item_id", "item_type", props.alias("properties"), refs.alias("references"), "error")
@@ -233,14 +244,16 @@ def resolve_primary(spark, sf_dir):
 
 def resolved_of(types):
     def f(spark, sf_dir):
-        r = I.resolve_primary(I.open_container(files(spark, sf_dir)))
-        return r.where(F.col("item_type").isin(*types)).select("file_id", "item_id", F.size("properties").cast("long").alias("n_properties"))
+        r = I.resolve_primary(I.open_container(damaged(spark, sf_dir)))
+        return r.where(F.col("item_type").isin(*types) | F.col("error").isNotNull()).select("file_id", "item_id", F.size("properties").cast("long").alias("n_properties"), "error")
 
     return f
 
 
 QUERIES |= {"resolve_heic": resolved_of(("hvc1", "hev1", "grid")), "resolve_avif": resolved_of(("av01",))}
-ORACLES |= {"resolve_heic": f"WITH {F_SQL} SELECT file_id, item AS item_id, 6::BIGINT AS n_properties FROM f WHERE k IN (0, 3)", "resolve_avif": f"WITH {F_SQL} SELECT file_id, item AS item_id, 6::BIGINT AS n_properties FROM f WHERE k = 1"}
+for _name, _kinds in (("resolve_heic", "0, 3"), ("resolve_avif", "1")):
+    ORACLES[_name] = f"""WITH {F_SQL}, d AS (SELECT *, CASE WHEN e % 11 = 10 THEN 'no boxes' WHEN e % 5 = 4 OR e % 7 = 6 THEN 'missing pitm' END AS error FROM f)
+SELECT file_id, CASE WHEN error IS NULL THEN item END AS item_id, CASE WHEN error IS NULL THEN 6 ELSE NULL END::BIGINT AS n_properties, error FROM d WHERE k IN ({_kinds}) OR error IS NOT NULL"""
 
 
 @query(f"WITH {F_SQL} SELECT file_id, 'imir ' || CASE WHEN e % 2 = 1 THEN 'horizontal' ELSE 'vertical' END || ',irot ' || (e % 4 * 90) AS transforms FROM f")
@@ -259,11 +272,6 @@ def color_inherit(spark, sf_dir):
     return c.select("file_id", "nclx.primaries", "nclx.transfer", "nclx.matrix", "nclx.full_range")
 
 
-@query(f"WITH {F_SQL} SELECT file_id, NULL::BIGINT AS icc_bytes FROM f")
-def icc_lookup(spark, sf_dir):
-    return I.colour_properties(I.open_container(files(spark, sf_dir))).select("file_id", F.octet_length("icc").cast("long").alias("icc_bytes"))
-
-
 @query(f"""WITH {F_SQL} SELECT file_id, item + 10 AS item_id, 2::BIGINT AS n_properties, 1::BIGINT AS n_hvcc, {NCLX_SQL.replace('AS full_range', 'AS full_range')} FROM f WHERE k = 3""")
 def grid_tile_props(spark, sf_dir):
     g = I.open_container(files(spark, sf_dir)).graph.where("item_type = 'grid'")

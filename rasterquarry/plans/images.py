@@ -163,7 +163,16 @@ def coded_file(e: int) -> bytes:
     return container([grid, *tiles], [("dimg", 1, [t[0] for t in tiles])])
 
 
-MAKERS = {"unci": unci_file, "turned": turned_file, "coded": coded_file}
+#: Profiles by event_id % 4: one, two of which the last counts, none, and a grid that takes its first tile's.
+def profile_file(e: int) -> bytes:
+    kind = e % 4
+    icc = [box("colr", b"prof" if e % 3 else b"rICC", bytes([n % 256]) * n) for n in ([], [e % 50], [e % 50, e % 20])[(1, 2, 0, 1)[kind]]]
+    if kind < 3:
+        return container([(1, "unci", bytes(6), [ispe(2, 1), full("uncC", 1, b"rgb3"), *icc])])
+    return container([(1, "grid", bytes(8), [ispe(2, 1)]), (2, "hvc1", b"", [ispe(2, 1), *icc])], [("dimg", 1, [2])])
+
+
+MAKERS = {"unci": unci_file, "turned": turned_file, "coded": coded_file, "profile": profile_file}
 
 
 def _file_batches(batches, kind):
@@ -251,6 +260,11 @@ def hook_meta(spark, sf_dir):
     return host.metadata(files(spark, sf_dir, "turned")).select("file_id", "width", "height", "orientation", "error")
 
 
+@query("SELECT event_id::BIGINT AS file_id, CASE event_id % 4 WHEN 0 THEN event_id % 50 WHEN 1 THEN event_id % 20 WHEN 3 THEN event_id % 50 END::BIGINT AS icc_bytes FROM events")
+def icc_lookup(spark, sf_dir):
+    return I.colour_properties(I.open_container(files(spark, sf_dir, "profile"))).select("file_id", F.octet_length("icc").cast("long").alias("icc_bytes"))
+
+
 C_GROUP = 200
 CODED_SQL = f"""f AS (SELECT DISTINCT (event_id // {C_GROUP})::BIGINT AS e FROM events),
 p AS (SELECT e, x, y, (e * 31 + x % 16 * 7 + y * 13 + CASE WHEN x >= 16 THEN 114 ELSE 0 END) % 256 AS v, CASE WHEN e % 5 = 1 THEN (e * 31 + x * 7 + y * 13 + 57) % 256 ELSE 255 END AS a
