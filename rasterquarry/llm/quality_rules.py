@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .docstats import measure
-from .store import drop_tabled, tabled
+from .store import cut, drop_tabled, tabled
 from .textops import Words, blocks, column, words
 
 #: Buckets of hashed words and word pairs: the model is two sums for each, whatever the corpus' size.
@@ -55,26 +55,36 @@ def _sums(rows: DataFrame, batches, size: int, first: int = 0) -> np.ndarray:
     return out
 
 
-def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) whose id has the label quality 1.
+def _through(rows: DataFrame, ids: DataFrame, surely: bool = False) -> DataFrame:
+    """The rows whose doc_id may be among ids (doc_id, without nulls), or those whose surely isn't.
 
-    A filter of a bit an id, at most FILTER_WORDS longs whatever the number of ids, is broadcast first, so that texts
-    that surely have no such label are never dealt out; the join then is exact. Beyond some 10^8 ids the filter
-    passes most rows, and no row less.
+    A filter of a bit an id and 64 bits a row of ids is broadcast: at most FILTER_WORDS longs, whatever their number.
+    Beyond some 10^8 ids it passes most rows, and no row less.
     """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__good"))
-    size = min(FILTER_WORDS, 1 << max(10, good.count().bit_length()))
+    size = min(FILTER_WORDS, 1 << max(10, ids.count().bit_length()))
 
-    def place(c: str):
-        h = F.xxhash64(F.col(c).cast("string"))
-        return F.shiftright(h, 6).bitwiseAND(size - 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    def place():
+        h = F.xxhash64(F.col("doc_id").cast("string"))
+        return F.shiftright(h, 6).bitwiseAND(size - 1).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")).alias("__bits")
 
-    word, bit = place("__good")
-    words = good.select(word.alias("__word"), bit.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
-    word, bit = place("doc_id")
-    some = rows.join(F.broadcast(words), word == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
-    # not a semi-join, which the optimizer would move below the filter
-    return some.join(good.distinct(), F.col("doc_id") == F.col("__good")).select(*rows.columns)
+    words = ids.select(*place()).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    word, bit = place()
+    there = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    marked = rows.withColumns({"__at": word, "__bit": bit}).join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
+    return marked.where(~there if surely else there).select(*rows.columns)
+
+
+def _trusted(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text) whose id has the label quality 1, and the table that they are read from.
+
+    A filter of the labelled ids leaves them and about one other row in 64. The ids of those others are found by a join
+    of ids alone; a filter of these tells which texts need a second look, and only they are dealt out to be told apart.
+    """
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(rows.schema["doc_id"].dataType))
+    some = tabled(_through(rows, good))
+    wrong = cut(some.select("doc_id").distinct().join(good, "doc_id", "left_anti"))
+    told = _through(some, wrong).join(wrong, "doc_id", "left_anti")
+    return _through(some, wrong, surely=True).unionByName(told.select(*rows.columns)), some
 
 
 def _base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
@@ -113,14 +123,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     can be scored apart, nothing is rejected by its score.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    trusted = tabled(_trusted(rows, labels).select("text"))
+    found, table = _trusted(rows, labels)
+    trusted = found.select("text")
     raw, target = (_sums(x, _count_batches, BUCKETS) for x in (rows.select("text"), trusted))
     if not target.sum():
-        drop_tabled(trusted)
+        drop_tabled(table)
         return np.zeros(BUCKETS), 0.0
     share = (raw + 1) / (raw.sum() + BUCKETS)
     scored = _sums(trusted, partial(_held_out_batches, target=target, share=share), 2 * RANGE * BINS)
-    drop_tabled(trusted)
+    drop_tabled(table)
     below = np.searchsorted(np.cumsum(scored), int(LOST * scored.sum()), side="right")
     return _ratio(target, target.sum(), share), (below / BINS - RANGE if scored.any() else -np.inf)
 
