@@ -428,11 +428,6 @@ def decode(files: DataFrame, max_pixels: int = MAX_PIXELS, as_png: bool = True)
     return files.select("file_id", "content").mapInArrow(partial(_decode_batches, most=max_pixels, as_png=as_png), f"file_id {kind}, {_OUT}")
 
 
-def decode_uncompressed(files: DataFrame) -> DataFrame:
-    """decode() for files whose primary item is uncompressed or not; kept for callers of the earlier name."""
-    return decode(files)
-
-
 def _stream_batches(batches):
     for batch in batches:
         streams, errors = [], []

@@ -81,6 +81,23 @@ def read_span(path: str, at: int, n: int) -> bytes:
         return file.read(n)
 
 
+def spooled(reader, folder: str, most: int, block: int = 1 << 20) -> str:
+    """The path of a file in folder with all that a reader gives, block by block; beyond `most` bytes nothing is left and ValueError is raised."""
+    import tempfile
+
+    n = 0
+    with tempfile.NamedTemporaryFile(dir=folder, prefix="spool-", delete=False) as out:
+        while data := reader.read(block):
+            n += len(data)
+            if n > most:
+                break
+            out.write(data)
+    if n > most:
+        os.unlink(out.name)
+        raise ValueError("ResourceLimit: too many bytes to spool")
+    return out.name
+
+
 def gather_span(path: str, extents: list[tuple[int, int]]) -> bytes:
     """The bytes of extents (offset, length) in order, each read by itself; an empty one adds nothing."""
     return b"".join(read_span(path, at, n) for at, n in extents)

@@ -19,7 +19,7 @@ def image_stream(spark: SparkSession, path: str, pattern: str = "*.{heic,heif,av
 
 
 def described(stream: DataFrame, most: int = MAX_INPUT_BYTES) -> DataFrame:
-    """(file_id, length, family, n_boxes, error) of a stream or table of files; no state is kept between batches."""
+    """(file_id, length, family, error) of a stream or table of files; no state is kept between batches."""
     rows = limited(stream, most).withColumn("family", family(F.col("content")))
     return rows.select("file_id", "length", "family", F.coalesce("error", F.when(F.col("family").isNull(), "UnsupportedFeature")).alias("error"))
 

@@ -17,7 +17,7 @@ def table(spark, rows):
 
 
 def test_the_least_image(spark):
-    r = images.decode_uncompressed(table(spark, [(1, wire.container())])).first()
+    r = images.decode(table(spark, [(1, wire.container())])).first()
     assert r.error is None and list(r.rgba) == [10, 20, 30, 255, 200, 150, 100, 255] and (r.width, r.height) == (2, 1)
     assert bytes(r.png[:8]) == b"\x89PNG\r\n\x1a\n"
 
@@ -25,7 +25,7 @@ def test_the_least_image(spark):
 def test_orientation_and_transforms(spark):
     rot = lambda k: (box("irot", bytes([k])),)
     rows = [(1, wire.container(exif=wire.tiff(6))), (2, wire.container(exif=wire.tiff(6), props=rot(1))), (3, wire.container(exif=wire.tiff(6, "<"), props=rot(0))), (4, wire.container(exif=wire.tiff(6, "<"))), (5, wire.container(props=(box("imir", b"\1"),)))]
-    got = {r.file_id: r for r in images.decode_uncompressed(table(spark, rows)).collect()}
+    got = {r.file_id: r for r in images.decode(table(spark, rows)).collect()}
     assert {k: r.orientation for k, r in got.items()} == {1: 6, 2: None, 3: 6, 4: 6, 5: None}
     assert (got[2].width, got[2].height) == (1, 2) and list(got[2].rgba) == [200, 150, 100, 255, 10, 20, 30, 255]
     assert list(got[5].rgba)[:4] == [200, 150, 100, 255]
@@ -34,7 +34,7 @@ def test_orientation_and_transforms(spark):
 def test_bad_files_are_rows_with_errors(spark):
     good = wire.container()
     rows = [(1, good[:-3]), (2, b""), (3, None), (4, wire.container(kind="av01")), (9, wire.container(kind="hvc1")), (5, wire.container(payload=b"abc")), (6, good), (7, b"\0\0\0\1mdat"), (8, wire.container(config=full("uncC", 1, 0, b"zzzz")))]
-    got = {r.file_id: r.error for r in images.decode_uncompressed(table(spark, rows)).collect()}
+    got = {r.file_id: r.error for r in images.decode(table(spark, rows)).collect()}
     assert got[6] is None and all(got[k] for k in got if k != 6) and set(got) == set(range(1, 10))
     assert got[4].startswith("UnsupportedFeature") and got[5].startswith("MalformedInput") and got[9] == "MalformedInput: missing hvcC"
 
@@ -42,7 +42,7 @@ def test_bad_files_are_rows_with_errors(spark):
 def test_planar_components(spark):
     config = full("uncC", 0, 0, b"\0\0\0\0", u32(3), *(u16(i) + bytes([7, 0, 0]) for i in range(3)), bytes([0, 0, 0, 0]), u32(0, 0, 0, 0, 0))
     data = wire.container(config=config, props=(box("cmpd", u32(3), u16(6, 5, 4)),), payload=bytes([1, 2, 3, 4, 5, 6]))
-    r = images.decode_uncompressed(table(spark, [(1, data)])).first()
+    r = images.decode(table(spark, [(1, data)])).first()
     assert r.error is None and list(r.rgba) == [5, 3, 1, 255, 6, 4, 2, 255]
 
 
