@@ -18,6 +18,8 @@ SHINGLE_WORDS, HASH_SEED, MAX_BITS = 4, 42, 4
 #: A table bucket of up to so many fingerprints is verified pair by pair, a larger one along chains of common midpoints.
 #: A bucket of unrelated fingerprints reaches that size at some 3 * 10^10 of them; beyond, it is one of many near copies.
 PAIRED = 256
+#: Verified links that a task holds before it thins them out.
+LINKS_HELD = 1 << 17
 #: Distinct fingerprints whose keys a task lists; a fingerprint has 66 keys.
 FINGERPRINTS_IN_TASK = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -99,7 +101,7 @@ def _bucket_batches(batches):
         ends = np.flatnonzero(np.append(k[1:] != k[:-1], True)) + 1
         sizes = np.diff(np.concatenate([[0], ends]))
         many = np.repeat(sizes > PAIRED, sizes) | (k == large if large is not None else False)
-        links = [(np.zeros(0, np.int64),) * 2]
+        links, held_links = [(np.zeros(0, np.int64),) * 2], 0
         u, half = fp.view(np.uint64), (k >> 32) & 1
         i, d = np.flatnonzero(~many), 0
         while len(i):
@@ -113,6 +115,10 @@ def _bucket_batches(batches):
             mine = np.where(apart == 0, key == hx, other)
             good = i[mine & (np.bitwise_count(x ^ y) <= MAX_BITS)]
             links.append((fp[good], fp[good + d]))
+            held_links += len(good)
+            if held_links > LINKS_HELD:
+                links = [forest(*(np.concatenate(x) for x in zip(*links)))]
+                held_links = len(links[0][0])
         one, other = forest(*(np.concatenate(x) for x in zip(*links)))
         row = np.flatnonzero(many)
         n, total = len(row), len(row) + len(one)
