@@ -85,7 +85,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     contracts what it holds, so a node leads at most one edge a task. A round then links each node to its least
     neighbour, links its other neighbours to that one, and moves every edge to its end's own parent. Ends that are
     common to a large part of all edges are joined apart (spread_join), so no task holds a component. A round's edges
-    are written to the shared folder; when none changes, they are stars.
+    are written to the shared folder, in as many files as their number needs: a round never adds edges. When none
+    changes, they are stars.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = cut(contracted(e))
@@ -97,6 +98,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
         p = e.groupBy("a").agg(F.min("b").alias("m"))
         rest = e.join(p, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        small = cut(p.select("a", F.col("m").alias("b")).unionByName(rest))
+        small = cut(p.select("a", F.col("m").alias("b")).unionByName(rest), most=now[0])
         up = p.select(F.col("a").alias("b"), "m")
-        e = cut(contracted(spread_join(small, up, "b").select("a", F.coalesce("m", "b").alias("b"))))
+        e = cut(contracted(spread_join(small, up, "b").select("a", F.coalesce("m", "b").alias("b"))), most=now[0])

@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shuffle, and neither a fingerprint nor a component that has a large part of all rows is dealt to one task.
     """
     own = cut(fingerprints(docs))
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), most=own.count())
     stars_of = connected_components(links(nodes))
     roots = stars_of.select(F.col("root").alias("node"), "root").distinct()
     members = cut(stars_of.unionByName(roots).withColumnRenamed("node", "fp").join(nodes, "fp"))
@@ -239,7 +239,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def _keep_one(docs: DataFrame) -> DataFrame:
     digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
     own = cut(fingerprints(docs, digest.alias("__digest")))
-    nodes = cut(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("best")))
+    nodes = cut(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("best")), most=own.count())
     roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     best = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
 

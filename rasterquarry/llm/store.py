@@ -23,9 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df's rows, computed once and kept in the shared folder: a lost executor costs no recomputation beyond it."""
+#: Rows of a part of a cut, where it is known beforehand how many there can be.
+ROWS_IN_PART = 1 << 17
+
+
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df's rows, computed once and kept in the shared folder: a lost executor costs no recomputation beyond it.
+
+    most: a number that df's rows don't exceed. So few rows take no file for each partition of the shuffle before them:
+    where the folder is local, each file starts two processes that set its mode.
+    """
     shared_folder(df.sparkSession)
+    if most is not None:
+        df = df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-most // ROWS_IN_PART)))
     return df.checkpoint(eager=True)
 
 

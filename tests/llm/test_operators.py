@@ -260,6 +260,22 @@ def test_one_row_of_each_component_stays_whatever_its_id(make):
     assert {r[1]: r[0] for r in got[0]}[texts[0]] == 8 and {r[1]: r[0] for r in got[0]}[texts[10]] == 7
 
 
+def test_rounds_of_few_edges_write_few_files(spark):
+    from rasterquarry.llm.graph import connected_components
+
+    most = 4 * spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", most + 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        stars = connected_components(spark.createDataFrame([(k + 1, k) for k in range(60)] + [(101, 100), (102, 100)], "a long, b long"))
+        assert stars.rdd.getNumPartitions() <= most
+        assert sorted(map(tuple, stars.collect())) == [(k, 0) for k in range(1, 61)] + [(101, 100), (102, 100)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_a_long_chain(spark):
     from rasterquarry.llm.graph import connected_components
 
