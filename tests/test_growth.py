@@ -58,4 +58,33 @@ def test_declared_items_of_each_list(spark):
 # parameter sets
 
 
+def test_reads_of_a_long_payload_take_as_long_as_of_a_short_one():
+    def seconds(n):
+        r = C.Bits(b"\xff\x35" * (n // 2))
+        r.at = 8 * n - 10_000
+        began = time.perf_counter()
+        for _ in range(500):
+            r.ue(), r.u(3)
+        return time.perf_counter() - began
+
+    assert seconds(4_000_000) < 20 * max(seconds(4_000), 1e-3)
+
+
+def test_signed_codes_at_once():
+    values = [0, 1, -1, 127, -128, 5, 0, -3] * 8
+    data = S.BitWriter().u(3, 5).se(*values).closed()
+    r = C.Bits(data)
+    r.u(3)
+    assert r.ses(len(values)) == values
+    for cut in (5, 20, len(data) - 2):
+        short = C.Bits(data[:cut])
+        short.u(3)
+        with pytest.raises(ValueError, match="out of bits"):
+            short.ses(len(values))
+
+
+def test_parameter_sets_are_dealt_to_all_cores(spark):
+    assert PH.sps_rows(spark, SF, "lists").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 # pictures
