@@ -88,3 +88,12 @@ def test_parameter_sets_are_dealt_to_all_cores(spark):
 
 
 # pictures
+
+
+@pytest.mark.parametrize("form", [1], ids=["cu"])
+def test_few_pictures_are_held_at_once(form):
+    sample = [{"at": 0, "v": 1, "cb": 2, "cr": 3}]
+    kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("at", "v", "cb", "cr")]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([sample] * 40, kind)], names=["item", "samples"])
+    first = next(PH._write_batches([batch], {"format": form}))
+    assert 0 < first.num_rows <= 16
