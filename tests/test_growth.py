@@ -90,7 +90,7 @@ def test_parameter_sets_are_dealt_to_all_cores(spark):
 # pictures
 
 
-@pytest.mark.parametrize("form", [1], ids=["cu"])
+@pytest.mark.parametrize("form", [0, 1], ids=["mode_store", "cu"])
 def test_few_pictures_are_held_at_once(form):
     sample = [{"at": 0, "v": 1, "cb": 2, "cr": 3}]
     kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("at", "v", "cb", "cr")]))
