@@ -43,7 +43,7 @@ def test_a_scan_gives_only_what_is_asked_for():
     assert "ispe" in inner.column("type").to_pylist() and "ipco" not in inner.column("type").to_pylist()
 
 
-@pytest.mark.parametrize("name", ["dec_iinf", "dec_ipco"])
+@pytest.mark.parametrize("name", ["dec_iinf", "dec_ipco", "slice_hdr"])
 def test_no_join(spark, name):
     assert "Join" not in plan(spark, name)
 
@@ -87,6 +87,17 @@ def test_parameter_sets_are_dealt_to_all_cores(spark):
     assert PH.sps_rows(spark, SF, "lists").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+
+def test_last_sets_and_missing_ones_of_slices(spark):
+    sps, pps = S.parameter_sets(16, 16, S.DEFAULTS)
+    head = S.BitWriter().u(1, 1).u(1, 0).ue(0, 2).se(3).closed()
+    schema = "item long, pos int, type int, layer int, payload binary"
+    rows = [(1, 0, 33, 0, b"\0"), (1, 1, 33, 0, sps), (1, 2, 34, 0, pps), (1, 3, 19, 0, head), (1, 4, 20, 0, head), (1, 5, 19, 1, head), (2, 0, 33, 0, sps), (2, 1, 33, 0, b"\0"), (2, 2, 34, 0, pps), (2, 3, 19, 0, head), (3, 0, 19, 0, head), (4, 0, 33, 0, sps), (None, 0, 33, 0, sps), (None, 1, 34, 0, pps), (None, 2, 19, 0, head)]
+    got = C.slice_headers(spark.createDataFrame(rows, schema).withColumn("pos", F.col("pos"))).select("item", "qp", "error").collect()
+    missing = "missing parameter set"
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(item=i, qp=q, error=e)) for i, q, e in [(1, 29, None), (1, 29, None), (2, None, missing), (3, None, missing), (None, None, missing)])
+
+
 # pictures
 
 
