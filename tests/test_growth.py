@@ -85,8 +85,12 @@ def test_signed_codes_at_once():
 
 def test_parameter_sets_are_dealt_to_all_cores(spark):
     assert PH.sps_rows(spark, SF, "lists").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert QUERIES["ps_sps"](spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_a_bit_string_is_not_rebuilt_for_each_byte(spark):
+    assert "sequence(" not in plan(spark, "ps_sps")
+
 
 def test_last_sets_and_missing_ones_of_slices(spark):
     sps, pps = S.parameter_sets(16, 16, S.DEFAULTS)
