@@ -105,7 +105,7 @@ def test_last_sets_and_missing_ones_of_slices(spark):
 # pictures
 
 
-@pytest.mark.parametrize("form", [0, 1], ids=["mode_store", "cu"])
+@pytest.mark.parametrize("form", [0, 1, 2], ids=["mode_store", "cu", "tt_chroma"])
 def test_few_pictures_are_held_at_once(form):
     sample = [{"at": 0, "v": 1, "cb": 2, "cr": 3}]
     kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("at", "v", "cb", "cr")]))
