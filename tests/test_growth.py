@@ -55,6 +55,11 @@ def test_declared_items_of_each_list(spark):
     assert len(rows) > 900 and set(rows.values()) == {(3, 3)}
 
 
+@pytest.mark.parametrize("name, unread", [("color_inherit", "lambda")])
+def test_graphs_read_only_what_a_query_needs(spark, name, unread):
+    assert unread not in plan(spark, name)
+
+
 # parameter sets
 
 
