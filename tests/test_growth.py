@@ -55,7 +55,7 @@ def test_declared_items_of_each_list(spark):
     assert len(rows) > 900 and set(rows.values()) == {(3, 3)}
 
 
-@pytest.mark.parametrize("name, unread", [("extract_grid", "references"), ("transform_list", "references"), ("props_avif", "references"), ("resolve_heic", "references"), ("extract_heic", "references"), ("grid_tile_props", "references"), ("color_inherit", "lambda")])
+@pytest.mark.parametrize("name, unread", [("extract_grid", "references"), ("transform_list", "references"), ("props_avif", "references"), ("resolve_heic", "references"), ("extract_heic", "references"), ("grid_tile_props", "references"), ("resolve_primary", "tile_properties"), ("color_inherit", "lambda")])
 def test_graphs_read_only_what_a_query_needs(spark, name, unread):
     assert unread not in plan(spark, name)
 
