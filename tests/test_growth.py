@@ -43,6 +43,13 @@ def test_a_scan_gives_only_what_is_asked_for():
     assert "ispe" in inner.column("type").to_pylist() and "ipco" not in inner.column("type").to_pylist()
 
 
+def test_batches_are_read_in_steps():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500), pa.int64()), pa.array([b""] * 2500)], names=["file_id", "content"])
+    assert max(b.num_rows for b in host._metadata_batches([batch])) <= B.STEP
+    made = list(PI._file_batches([batch.select(["file_id"])], "turned"))
+    assert len(made) == 3 and sum(b.num_rows for b in made) == 2500
+
+
 @pytest.mark.parametrize("name", ["dec_iinf", "dec_ipco", "slice_hdr"])
 def test_no_join(spark, name):
     assert "Join" not in plan(spark, name)
