@@ -124,3 +124,20 @@ def test_few_pictures_are_held_at_once(form):
     batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([sample] * 40, kind)], names=["item", "samples"])
     first = next(PH._write_batches([batch], {"format": form}))
     assert 0 < first.num_rows <= 16
+
+
+# rows of boxes, read in one step in their usual form
+
+
+def test_associations_of_both_widths():
+    narrow = bytes([0, 0, 0, 0]) + (2).to_bytes(4, "big") + bytes([0, 7, 2, 0x81, 5, 1, 0, 0])
+    assert list(B._ipma(narrow)) == [(7, 0, 1, True), (7, 1, 5, False)]
+    wide = bytes([1, 0, 0, 1]) + (1).to_bytes(4, "big") + bytes([0, 1, 0, 0, 2, 0x80, 3, 0x01, 0x02])
+    assert list(B._ipma(wide)) == [(65536, 0, 3, True), (65536, 1, 258, False)]
+    for data in (narrow[:-6], wide[:-1]):
+        with pytest.raises(ValueError, match="truncated association"):
+            list(B._ipma(data))
+
+
+def test_associations_leave_a_scan_alone():
+    assert set(next(B._scan_batches([built(2)], "file_id", ("ipma",), None)).column("type").to_pylist()) == {"ipma"}
