@@ -141,3 +141,18 @@ def test_associations_of_both_widths():
 
 def test_associations_leave_a_scan_alone():
     assert set(next(B._scan_batches([built(2)], "file_id", ("ipma",), None)).column("type").to_pylist()) == {"ipma"}
+
+
+def test_item_entries_in_all_forms():
+    def rows(data):
+        return list(B._infe(bytes([2, 0, 0, 1, 0, 9, 0, 0]) + data))
+
+    assert rows(b"hvc1name\0rest") == [(9, "hvc1", "name", None, None, None, True)] == rows(b"hvc1name")
+    assert rows(b"hvc1") == [(9, "hvc1", "", None, None, None, True)] == rows(b"hvc1\0")
+    assert rows(b"\xff\xfe\xfd\xfcn\xff") == [(9, "fffefdfc", "n�", None, None, None, True)]
+    assert rows(b"mimen\0text/a\0gzip\0") == [(9, "mime", "n", "text/a", "gzip", None, True)]
+    assert rows(b"uri n\0u:x\0") == [(9, "uri ", "n", None, None, "u:x", True)]
+
+
+def test_item_entries_leave_a_scan_alone():
+    assert set(next(B._scan_batches([built(2)], "file_id", ("infe",), None)).column("type").to_pylist()) == {"infe"}
